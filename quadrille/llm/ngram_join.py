@@ -8,9 +8,9 @@ does so on its own. What is brought together is then counted exactly: overlaps o
 separately, summed per pair.
 
 No set is compared with all others of a group. Equal sets are one node beforehand. Of the nodes that share a
-fragment, each is first counted against the one of its fragments' least nodes with which it shares most
-fragments. Only pairs of nodes that these links leave in different components are enumerated, inside bounded
-tiles, and a bound from bucket counts (the overlap is at most the sum of lesser counts) drops those that cannot
+fragment, each is first counted against the one of its fragments' leaders with which it shares most fragments, in
+STARS rounds, whose later ones take leaders across the components that the links so far make. Only pairs of nodes
+that are still in different components are enumerated, inside bounded tiles, and a bound from bucket counts (the overlap is at most the sum of lesser counts) drops those that cannot
 link before anything is emitted. Both filters are lossless, so the components are those of all links.
 
 Fragments may be empty; sizes leave room for SLACK of them, and the few sets with more also meet on their empty
@@ -31,7 +31,7 @@ from quadrille.llm.graph import components
 from quadrille.llm.shared import Scratch, arrow_map, doc_ranges, string_buffer, text_slices
 from quadrille.llm.words import NOT_SPACE, PIECE, U, mix, shingle_sets, words_by_text
 
-SEGMENTS, BUCKETS, TILE = 8, 256, 2048
+SEGMENTS, BUCKETS, TILE, STARS = 8, 256, 2048, 3
 
 
 class Cut:
@@ -195,10 +195,38 @@ def _links(pairs: DataFrame, profiles: DataFrame, percent: int, scratch: Scratch
     return scratch.save(linked.select("a", "b", "common"), f"{name}-links")
 
 
-def _tiles(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """members (sig, node, comp) of blocks that hold several components: the pairs across components that the bounds allow."""
-    size = members.groupBy("sig").agg(F.count("*").alias("size"))
-    rows = members.join(size, "sig").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("t", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+def _star_pairs(rows: DataFrame) -> DataFrame:
+    """rows (node, leader), one for each fragment that brings them together: each node with the leader it shares most fragments with."""
+    ties = rows.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
+    best = ties.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("top"))
+    return best.select(F.least("node", "top.leader").alias("a"), F.greatest("node", "top.leader").alias("b")).distinct()
+
+
+def _split_blocks(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(sig, node, comp) of the blocks that hold nodes of several components."""
+    placed = members.join(comp.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+    return placed.join(split, "sig").select("sig", "node", "comp")
+
+
+def _cross_stars(split: DataFrame, seed: int) -> DataFrame:
+    """In each block two components are drawn and a node of each; all nodes meet the one that isn't of their component."""
+    drawn = F.struct(F.xxhash64("comp", F.lit(seed)).alias("c"), F.xxhash64("node", F.lit(seed)).alias("h"), "node", "comp")
+    ends = split.groupBy("sig").agg(F.min(drawn).alias("lo"), F.max(drawn).alias("hi"))
+    rows = split.join(ends, "sig")
+    return _star_pairs(rows.select("node", F.when(F.col("comp") != F.col("lo.comp"), F.col("lo.node")).otherwise(F.col("hi.node")).alias("leader")))
+
+
+def _tiles(members: DataFrame, profiles: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """members (sig, node, comp) of blocks that hold several components: the pairs across components that the bounds allow.
+
+    Blocks with the same nodes count once; blocks of two are pairs already.
+    """
+    same = (F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h1"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("h2"))
+    blocks = members.groupBy("sig").agg(F.count("*").alias("size"), F.min("node").alias("a"), F.max("node").alias("b"), *same)
+    blocks = scratch.save(blocks.groupBy("size", "h1", "h2", "a", "b").agg(F.min("sig").alias("sig")), "blocks")
+    twos = blocks.where("size = 2").select("a", "b")
+    rows = members.join(blocks.where("size > 2").select("sig", "size"), "sig").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("t", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("sig", "node", "comp", "t", F.least("t", "other").alias("t0"), F.greatest("t", "other").alias("t1"))
     rows = rows.join(profiles.select("node", "n", "counts"), "node")
@@ -219,7 +247,7 @@ def _tiles(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
-    return rows.groupBy("sig", "t0", "t1").applyInArrow(pairs, "a long, b long").distinct()
+    return rows.groupBy("sig", "t0", "t1").applyInArrow(pairs, "a long, b long").unionByName(twos).distinct()
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -237,21 +265,26 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scr
         return jaccard_classes(docs, k, percent, Scratch(spark, "ngram-join"), seed + 1)
 
     sigs = _signatures(docs, k, percent, seed)
-    shared = sigs.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("sig", "leader")
-    members = scratch.save(sigs.join(shared, "sig").select("sig", "node", "leader").distinct(), "members")
-    wanted = members.select("node").distinct().join(reps.select("node", F.col("rep").alias("doc_id")), "node")
+    shared = sigs.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("sig", "size")
+    members = scratch.save(sigs.join(shared, "sig").select("sig", "node", "size").distinct(), "members")
+    # a node whose fragments are widely shared stands in the middle of its group: it leads its blocks
+    middle = scratch.save(members.groupBy("node").agg(F.sum("size").alias("weight")), "middle")
+    wanted = middle.select("node").join(reps.select("node", F.col("rep").alias("doc_id")), "node")
     profiles = scratch.save(_profiles(docs.join(wanted, "doc_id").select("node", "text").dropDuplicates(["node"]), k), "profiles")
-
-    # with each node, the leader it shares most fragments with
-    ties = members.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
-    first = ties.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("top")).select(F.col("top.leader").alias("a"), F.col("node").alias("b"))
-    links = _links(first, profiles, percent, scratch, "first")
-    comp = components(links, scratch, "near")
-
-    placed = members.select("sig", "node").join(comp.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = scratch.save(placed, "placed")
-    split = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    rest = scratch.save(_tiles(placed.join(split, "sig"), profiles, percent).join(first, ["a", "b"], "left_anti"), "rest")
+    weighed = scratch.save(members.select("sig", "node").join(middle, "node"), "weighed")
+    leaders = weighed.groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("top")).select("sig", F.col("top.node").alias("leader"))
+    tried = scratch.save(_star_pairs(weighed.join(leaders, "sig").select("node", "leader")), "stars-0")
+    links = _links(tried, profiles, percent, scratch, "stars-0")
+    comp = components(links, scratch, "near-0")
+    split = scratch.save(_split_blocks(members.select("sig", "node"), comp), "split-0")
+    for i in range(1, STARS):
+        more = scratch.save(_cross_stars(split, i).join(tried, ["a", "b"], "left_anti"), f"stars-{i}")
+        tried = tried.unionByName(more)
+        links = links.unionByName(_links(more, profiles, percent, scratch, f"stars-{i}"))
+        comp = components(links.select("a", "b"), scratch, f"near-{i}")
+        split = scratch.save(_split_blocks(split.select("sig", "node"), comp), f"split-{i}")
+        scratch.drop(f"split-{i - 1}")
+    rest = scratch.save(_tiles(split, profiles, percent, scratch).join(tried, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(_links(rest, profiles, percent, scratch, "rest"))
 
     reach = components(links, scratch, "all").toDF("node", "comp")
