@@ -38,7 +38,9 @@ def _best(*more: Column) -> list[Column]:
 def stream_state(keys: DataFrame, scratch: Scratch, files_per_batch: int = 64) -> DataFrame:
     """Run the stored table ``keys`` (digest, doc_id, n_points) through keyed state; returns the state: (digest, n, keep_id)."""
     spark, source, out = keys.sparkSession, scratch.path("keys"), scratch.path("state")
-    conf = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200"}
+    # one memory bound for all stores of an executor; no preallocated log files, of which many small stores would hold gigabytes
+    rocks = "spark.sql.streaming.stateStore.rocksdb."
+    conf = {"spark.sql.streaming.stateStore.providerClass": ROCKS, rocks + "boundedMemoryUsage": "true", rocks + "maxMemoryUsageMB": "200", rocks + "allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
