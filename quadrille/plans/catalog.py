@@ -1,11 +1,316 @@
-"""Registered queries of the graph engine and their oracle SQL."""
+"""Registered queries of the graph engine and their oracle SQL over the base tables.
+
+Each query runs an operator over a lift of a driver table; its SQL says the same of the base table itself.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from quadrille.functions import scalars as S
+from quadrille.functions.terms import PREFIX
+from quadrille.operators import archive as A
+from quadrille.operators import enrich as E
+from quadrille.operators.quads import graph_overview, pattern, typed
+from quadrille.operators.validate import CHECKS, COUNTED, LABELLED, cycles, duplicate_metadata
+from quadrille.sources import lift
+from quadrille.sources.nquads import format_nquads, parse_nquads
+
+EX = PREFIX["ex"]
+
+#: d: documents with labels; leaf: (lang, source); fx: every Fixity (doc_id, hash, has_algorithm, linked)
+BASE = """
+WITH d AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, d.text, l.quality, l.toxic, l.quality IS NOT NULL AS known FROM documents d LEFT JOIN labels l USING (doc_id)),
+leaf AS (SELECT DISTINCT lang, source FROM d),
+fx AS (SELECT doc_id, sha256(text) AS hash, doc_id % 10 <> 0 AS algo FROM d UNION ALL
+       SELECT doc_id, CASE WHEN doc_id % 83 = 0 THEN 'not-a-hash' ELSE sha256(sha256(text)) END, true FROM d WHERE doc_id % 83 = 0 OR doc_id % 79 = 0)
+"""
+
+
+def _count(where: str, table: str = "d") -> str:
+    return f"{BASE} SELECT count(*) AS count FROM {table} WHERE {where}"
+
+
+def _ask(where: str, table: str = "d") -> str:
+    return f"{BASE} SELECT count(*) > 0 AS answer FROM {table} WHERE {where}"
+
+
+def _const(n: int) -> str:
+    return f"SELECT CAST({n} AS BIGINT) AS count"
+
+
+N_SETS = "(SELECT count(*) FROM leaf) + (SELECT count(DISTINCT lang) FROM leaf) + 1"
+MIME = "SELECT 'text/' || source AS value, count(*) AS n FROM d WHERE known GROUP BY 1"
+
+VALIDATION_SQL = {
+    "v02_entity_composition": f"{BASE} SELECT (SELECT count(*) FROM d) AS records, {N_SETS} AS recordsets, (SELECT count(*) FROM d) + {N_SETS} AS instantiations",
+    "v03_record_count": _count("true"),
+    "v04_recordset_count": f"{BASE} SELECT {N_SETS} AS count",
+    "v05_instantiation_count": f"{BASE} SELECT (SELECT count(*) FROM d) + {N_SETS} AS count",
+    "v06_identifier_count": f"{BASE} SELECT count(*) + 1 AS count FROM d",
+    "v07_identifiertype_count": _const(0),
+    "v08_technical_metadata_count": f"{BASE} SELECT 3 * count(*) AS count FROM d WHERE known",
+    "v09_person_count": _const(1),
+    "v10_technical_metadata_type_count": _const(4),
+    "v11_activity_count": _count("known"),
+    "v12_fixity_count": _count("true", "fx"),
+    "v13_location_count": f"{BASE} SELECT count(DISTINCT CASE WHEN doc_id % 97 = 0 THEN -1 ELSE doc_id END) AS count FROM d",
+    "v14_extent_count": _const(0),
+    "v15_software_stack_count": _const(0),
+    "v16_software_count": _const(1),
+    "v17_software_component_count": _const(0),
+    "v18_algorithm_count": _const(1),
+    "v19_record_without_label_ask": _ask("doc_id % 50 = 0"),
+    "v20_recordset_without_label_ask": _ask("true", "leaf"),
+    "v21_instantiation_without_label_ask": _ask("true", "leaf"),
+    "v22_technicalmetadatatype_without_label_ask": "SELECT true AS answer",
+    "v23_activity_without_label_ask": _ask("known AND doc_id % 53 = 0"),
+    "v24_person_without_label_ask": "SELECT true AS answer",
+    "v25_root_nodes": f"SELECT '{EX}set/root' AS s, 'RS1' AS identifier, false AS has_parent",
+    "v26_self_inclusion_ask": _ask("lang = 'fr'", "leaf"),
+    "v27_circular_hierarchy_ask": _ask("source = 'src1'", "leaf"),
+    "v28_hierarchy_depth_gaps": f"{BASE} SELECT '{EX}inst/' || doc_id AS s, CAST(7 AS BIGINT) AS gap FROM d WHERE doc_id % 67 = 0",
+    "v29_files_with_children_ask": _ask("doc_id % 61 = 0"),
+    "v30_orphan_instantiations_ask": _ask("doc_id % 71 = 0"),
+    "v31_orphan_records_ask": _ask("doc_id % 71 = 0"),
+    "v32_shared_locations": f"{BASE} SELECT '{EX}location/shared' AS location, count(*) AS n FROM d WHERE doc_id % 97 = 0 HAVING count(*) > 1",
+    "v33_orphan_records": _count("doc_id % 71 = 0"),
+    "v34_instantiation_without_metadata": f"{BASE} SELECT (SELECT count(*) FROM d WHERE NOT known) + {N_SETS} AS count",
+    "v35_metadata_stats": f"{BASE} SELECT 3 * count(*) AS metadata, CAST(4 AS BIGINT) AS types, count(*) AS activities FROM d WHERE known",
+    "v36_incomplete_activities": _count("known AND (doc_id % 11 = 0 OR doc_id % 13 = 0)"),
+    "v37_metadata_without_activity": _count("known AND doc_id % 19 = 0"),
+    "v38_exiftool_metadata": _count("known"),
+    "v39_tika_metadata": _count("known AND doc_id % 17 <> 0"),
+    "v40_filesystem_metadata": _count("known"),
+    "v41_metadata_without_type": _count("known AND doc_id % 17 = 0"),
+    "v42_unused_metadata_types": _const(1),
+    "v43_mime_distribution": f"{BASE} {MIME}",
+    "v44_hash_without_algorithm_ask": _ask("NOT algo", "fx"),
+    "v45_hash_missing_algorithm": f"{BASE} SELECT '{EX}fixity/' || doc_id AS s FROM fx WHERE NOT algo",
+    "v46_algorithm_consistency": f"{BASE} SELECT 'SHA-256' AS algorithm, count(*) AS n FROM fx WHERE algo",
+    "v47_hash_format_invalid": _count("doc_id % 83 = 0"),
+    "v48_multiple_hashes": _count("doc_id % 79 = 0"),
+    "v49_duplicate_hash_analysis": f"{BASE} SELECT hash, count(*) AS n FROM (SELECT DISTINCT doc_id, hash FROM fx WHERE hash = (SELECT sha256(text) FROM d WHERE d.doc_id = fx.doc_id) OR doc_id % 79 = 0) GROUP BY hash HAVING count(*) > 1",
+    "v50_path_format_invalid": _count("doc_id % 89 = 0 AND doc_id % 97 <> 0"),
+    "v51_multiple_paths": _count("doc_id % 73 = 0"),
+    "v52_metadata_types_csv": f"{BASE} SELECT * FROM (SELECT 'st_size' AS type_label, 'tools' AS software, count(*) AS n FROM d WHERE known UNION ALL SELECT 'MIMEType', 'tools', count(*) FROM d WHERE known UNION ALL SELECT 'Content-Type', 'tools', count(*) FROM d WHERE known AND doc_id % 17 <> 0)",
+    "v53_mime_csv": f"{BASE} {MIME}",
+}
+# a simpler way to say which hashes hang on an instantiation: the text's own, and the second one where doc_id % 79 = 0
+VALIDATION_SQL["v49_duplicate_hash_analysis"] = f"""{BASE}, h AS (SELECT doc_id, sha256(text) AS hash FROM d UNION SELECT doc_id, CASE WHEN doc_id % 83 = 0 THEN 'not-a-hash' ELSE sha256(sha256(text)) END FROM d WHERE doc_id % 79 = 0)
+SELECT hash, count(*) AS n FROM h GROUP BY hash HAVING count(*) > 1"""
+
+DATE_CASES = ["1.75233369117012E9", "1752333691.17012", "1752333691", "2020-01-01T23:00:00-05:00", "2020-01-02T03:04:05Z", "03/04/2020", "3-4-2020", "3.4.2020", "2020/4/3", "2020", "20200102", "9999999999999", "2020:01:31 10:00:00", "2020-13-45", "", "n/a", " 2020-02-29 ", "2021-02-29"]
+DATE_WANT = ["2025-07-12", "2025-07-12", "2025-07-12", "2020-01-01", "2020-01-02", "2020-04-03", "2020-04-03", "2020-04-03", "2020-04-03", "2020-01-01", "2020-01-02", None, None, None, None, None, "2020-02-29", None]
+
+
+def _values(rows: list[tuple], *names: str) -> str:
+    lit = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") t({', '.join(names)})"
+
+
+def _frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def _docs(f):
+    return lambda spark, sf_dir: f(lift.documents(spark, sf_dir))
+
+
+def _entities(spark, sf_dir):
+    d = lift.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("e"), F.lit(True).alias("is_record"))
+    lab = lift.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("e"), "quality", "toxic")
+    return d, lab
+
+
+def _classify(default):
+    def run(spark, sf_dir):
+        d, lab = _entities(spark, sf_dir)
+        out = A.classify(d, lab.where("quality = 1 AND toxic = 0 AND e % 2 = 0").select("e"), lab.where("quality = 1").select("e"), lab.where("toxic = 1").select("e"), default=default)
+        return out.select(F.col("e").alias("doc_id"), "verdict")
+
+    return run
+
+
+def _redacted(spark, sf_dir):
+    q = lift.documents(spark, sf_dir)
+    d, lab = _entities(spark, sf_dir)
+    name = lambda df: df.select(F.concat(F.lit(EX + "record/"), F.col("e").cast("string")).alias("e"))
+    verdicts = A.classify(name(d).withColumn("is_record", F.lit(True)), name(d.limit(0)), name(lab.where("quality = 1")), name(lab.where("toxic = 1")))
+    return A.redact(q, verdicts, ["MIMEType"])
+
+
+def _event_dates(spark, sf_dir):
+    e = lift.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    k, f = F.col("event_id") % 6, lambda x: F.date_format("ts", x)
+    secs = F.unix_seconds("ts")
+    raw = F.when(k == 0, f("yyyy-MM-dd'T'HH:mm:ss")).when(k == 1, F.concat(f("yyyy-MM-dd'T'HH:mm:ss"), F.lit("-05:00"))).when(k == 2, secs.cast("string")).when(k == 3, F.concat(secs.cast("double").cast("string"))).when(k == 4, f("d/M/yyyy")).otherwise(f("yyyy"))
+    return e.select("event_id", S.normalize_date(raw).alias("day"))
+
+
+EVENT_DAY = "CASE WHEN event_id % 6 = 5 THEN strftime(ts, '%Y') || '-01-01' ELSE strftime(ts, '%Y-%m-%d') END"
+
+
+def _page_values(spark, sf_dir):
+    p = lift.table(spark, sf_dir, "pages").select("page_id", "html")
+    got = lambda rx: F.filter(F.array(F.regexp_extract("html", rx, 1)), lambda x: x != "")
+    meta = F.create_map(F.lit("title"), got("(?s)<title>(.*?)</title>"), F.lit("language"), got(r'<html[^>]*lang="([^"]*)"'), F.lit("blank"), F.array(F.lit(" "), F.lit(None)))
+    return A.metadata_values(p.select(F.col("page_id").alias("inst"), F.lit("html").alias("tool"), meta.alias("meta")))
+
+
+PAGE_VALUES = """WITH p AS (SELECT page_id AS inst, 'title' AS field, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS value FROM pages UNION ALL SELECT page_id, 'language', regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) FROM pages), v AS (SELECT DISTINCT inst, field, value FROM p WHERE trim(value) <> '')"""
+
+
+def _paths(spark, sf_dir):
+    d = lift.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat(F.lit("/"), F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string"))).alias("path"), F.sha2("text", 256).alias("sha256"))
+
+
+def _i1(spark, sf_dir):
+    files = _paths(spark, sf_dir)
+    want = files.where("doc_id % 2 = 0 OR doc_id % 7 <> 0").select("path")
+    return A.check_counts(A.recursive_counts(want).where("dir <> '/es'"), A.recursive_counts(files)).selectExpr("dir", "expected", "counted", "status")
+
+
+def _i2(spark, sf_dir):
+    p = _paths(spark, sf_dir)
+    manifest = p.where("doc_id % 31 <> 0").select("path", F.when(F.col("doc_id") % 37 == 0, F.lit(None)).when(F.col("doc_id") % 41 == 0, F.sha2("sha256", 256)).otherwise(F.upper("sha256")).alias("sha256"))
+    return A.check_hashes(manifest, p.where("doc_id % 43 <> 0")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def _i3(spark, sf_dir):
+    p = _paths(spark, sf_dir)
+    after = p.where("doc_id % 31 <> 0").select("path", F.when(F.col("doc_id") % 41 == 0, F.lit("other")).otherwise(F.col("sha256")).alias("sha256"))
+    return A.hash_drift(p.where("doc_id % 43 <> 0"), after).select("path", "kind")
+
+
+def _ordinals(spark, sf_dir):
+    c = lift.table(spark, sf_dir, "customer")
+    return A.ordinals(c.select(F.col("c_nationkey").cast("string").alias("parent"), F.col("c_name").alias("name"), F.lit(False).alias("is_dir"))).select("parent", "name", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+def _work_edges(spark, sf_dir):
+    return lift.table(spark, sf_dir, "part").select(F.col("p_type").alias("parent"), F.col("p_brand").alias("child"))
+
+
+def _propagated(spark, sf_dir):
+    n = lift.table(spark, sf_dir, "nation")
+    links = n.where("n_nationkey % 5 = 0").select(F.concat(F.lit("Work "), F.col("n_regionkey").cast("string")).alias("work"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("entity"))
+    inc = lift.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("child"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent"))
+    edges = _frame(spark, [("Cycle", " work 0 "), ("Cycle", "WORK 1"), ("Cycle", "Cycle")], "parent string, child string")
+    return A.propagate(links, inc, edges)
+
+
+PROPAGATED = """WITH l AS (SELECT 'Work ' || n_regionkey AS work, 'n' || n_nationkey AS entity, n_nationkey AS k, n_regionkey AS r FROM nation WHERE n_nationkey % 5 = 0),
+x AS (SELECT work, entity, r FROM l UNION SELECT work, 'c' || c_custkey, r FROM l JOIN customer ON c_nationkey = k)
+SELECT work, entity FROM x UNION SELECT 'Cycle', entity FROM x WHERE r IN (0, 1)"""
+
+
+def _authors(spark, sf_dir):
+    c = lift.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", S.author_acceptable(F.col("role"), ["user", "syst"]).alias("ok"))
+
+
+def _prompts(spark, sf_dir):
+    q = lift.documents(spark, sf_dir)
+    maps = A.metadata_maps(q)
+    return maps.select("inst", A.prompt().alias("prompt"), A.first_of("meta", "Content-Type", "MIMEType").alias("mime"), A.first_of("meta", "st_size").alias("size"))
+
+
+MIME_LABEL_ROWS = [("text/en", "English text"), ("text/de", "German text")]
+INST = f"'{EX}inst/' || doc_id"
+
+DOMAIN = {
+    "e1_same_hash_groups": (_docs(E.same_hash_groups), f"{BASE}, h AS (SELECT doc_id, sha256(text) AS hash FROM d UNION SELECT doc_id, sha256(sha256(text)) FROM d WHERE doc_id % 79 = 0 AND doc_id % 83 <> 0) SELECT hash, count(*) AS n, count(*) * (count(*) - 1) AS links FROM h GROUP BY hash HAVING count(*) > 1"),
+    "e2_event_dates": (_event_dates, f"SELECT event_id, {EVENT_DAY} AS day FROM events"),
+    "e3_dates_per_day": (lambda s, d: _event_dates(s, d).groupBy("day").agg(F.count("*").alias("n")), f"SELECT {EVENT_DAY} AS day, count(*) AS n FROM events GROUP BY 1"),
+    "e4_fallback_dates": (lambda s, d: _fallback(s, d), "SELECT o_orderkey AS entity, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"),
+    "e5_recordset_dates": (lambda s, d: _customer_dates(s, d), "SELECT o_custkey AS entity, count(DISTINCT strftime(o_orderdate, '%Y-%m-%d')) AS n_days FROM orders GROUP BY o_custkey"),
+    "e7_titles": (_docs(lambda q: pattern(E.titles(q), "rico:hasOrHadTitle", "entity", "title")), f"{BASE} SELECT '{EX}record/' || doc_id AS entity, '{EX}record/' || doc_id || '_title' AS title FROM d WHERE doc_id % 50 <> 0 UNION ALL SELECT '{EX}set/' || lang || '_' || source, '{EX}set/' || lang || '_' || source || '_title' FROM leaf UNION ALL SELECT '{EX}set/root', '{EX}set/root_title'"),
+    "e8_equivalent_types": (lambda s, d: E.equivalent_types(lift.documents(s, d), _frame(s, E.EQUIVALENT, "group_id int, label string")), _values([(f"{EX}type/apachetika_Content_Type", f"{EX}type/exiftool_MIMEType")], "a", "b")),
+    "e9_set_nodes": (lambda s, d: pattern(E.set_nodes(s), "rdfs:label", "s", "label").select("label"), _values([(f"{n}Metadata",) for n in E.SETS], "label")),
+    "e10_field_sets": (lambda s, d: E.field_set(_frame(s, [("st_size",), ("st_odd",), ("Password",), ("MIMEType",), ("whatever",)], "label string"), _frame(s, E.FIELD_SETS, "field string, set string, priority int")).withColumnRenamed("set", "set_name"), _values([("st_size", "FileSystem"), ("st_odd", "FileSystem"), ("Password", "Security"), ("MIMEType", "Document"), ("whatever", "Other")], "label", "set_name")),
+    "e11_media_types": (lambda s, d: E.media_types(lift.documents(s, d), _frame(s, MIME_LABEL_ROWS, "mime string, label string")), f"{BASE} SELECT {INST} AS inst, 'text/' || lang AS mime, CASE lang WHEN 'en' THEN 'English text' WHEN 'de' THEN 'German text' ELSE 'Unknown file' END AS label FROM d WHERE known AND doc_id % 17 <> 0"),
+    "i1_count_check": (_i1, """WITH p AS (SELECT doc_id, lang, source FROM documents), f AS (SELECT '/' || lang AS dir, doc_id FROM p UNION ALL SELECT '/' || lang || '/' || source, doc_id FROM p),
+        c AS (SELECT dir, count(*) AS counted FROM f GROUP BY dir), e AS (SELECT dir, count(*) AS expected FROM f WHERE (doc_id % 2 = 0 OR doc_id % 7 <> 0) AND dir <> '/es' GROUP BY dir)
+        SELECT dir, expected, counted, CASE WHEN expected IS NULL THEN 'ONLY_GRAPH' WHEN counted IS NULL THEN 'MISSING' WHEN expected = counted THEN 'MATCH' ELSE 'DISCREPANCY' END AS status FROM c FULL JOIN e USING (dir)"""),
+    "i2_integrity_check": (_i2, "SELECT CASE WHEN doc_id % 31 = 0 THEN 'EXTRA' WHEN doc_id % 37 = 0 THEN 'CORRUPTED' WHEN doc_id % 43 = 0 THEN 'MISSING' WHEN doc_id % 41 = 0 THEN 'MISMATCH' ELSE 'MATCH' END AS status, count(*) AS n FROM documents WHERE NOT (doc_id % 31 = 0 AND doc_id % 43 = 0) GROUP BY 1"),
+    "i3_hash_drift": (_i3, "SELECT '/' || lang || '/' || source || '/' || doc_id AS path, CASE WHEN doc_id % 31 = 0 THEN 'MISSING' WHEN doc_id % 43 = 0 THEN 'NEW' ELSE 'CHANGED' END AS kind FROM documents WHERE NOT (doc_id % 31 = 0 AND doc_id % 43 = 0) AND (doc_id % 31 = 0 OR doc_id % 43 = 0 OR doc_id % 41 = 0)"),
+    "a13_recursive_counts": (lambda s, d: A.recursive_counts(_paths(s, d)), "SELECT dir, count(*) AS n FROM (SELECT '/' || lang AS dir FROM documents UNION ALL SELECT '/' || lang || '/' || source FROM documents) GROUP BY dir"),
+    "b12_metadata_values": (lambda s, d: _page_values(s, d).select("inst", "field", "value"), f"{PAGE_VALUES} SELECT inst, field, value FROM v"),
+    "b13_metadata_types": (lambda s, d: A.metadata_type_ids(_page_values(s, d)).select("tool", "field", F.col("type_no").cast("long").alias("type_no")), f"{PAGE_VALUES} SELECT 'html' AS tool, field, dense_rank() OVER (ORDER BY field) AS type_no FROM (SELECT DISTINCT field FROM v)"),
+    "b14_metadata_instances": (lambda s, d: A.metadata_instance_ids(_page_values(s, d)).select("inst", "field", "value", F.col("instance_no").cast("long").alias("instance_no")), f"{PAGE_VALUES} SELECT inst, field, value, row_number() OVER (PARTITION BY inst ORDER BY field, value) AS instance_no FROM v"),
+    "b17_software_stacks": (lambda s, d: A.stacks(lift.table(s, d, "lineitem").select(F.col("l_orderkey").alias("owner"), F.concat("l_returnflag", "l_linestatus").alias("component"))), "SELECT stack, count(*) AS owners FROM (SELECT l_orderkey, string_agg(DISTINCT l_returnflag || l_linestatus, '|' ORDER BY l_returnflag || l_linestatus) AS stack FROM lineitem GROUP BY 1) GROUP BY stack"),
+    "w1_ordinals": (_ordinals, "SELECT CAST(c_nationkey AS VARCHAR) AS parent, c_name AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY lower(c_name), c_name) AS ordinal FROM customer"),
+    "l1_work_parts": (lambda s, d: A.work_parts(_work_edges(s, d)), "SELECT DISTINCT p_brand AS s, 'isPartOf' AS edge, p_type AS o FROM part UNION SELECT p_type, 'hasPart', p_brand FROM part"),
+    "l3_propagated_works": (_propagated, PROPAGATED),
+    "x2_work_entities": (lambda s, d: _propagated(s, d).groupBy("work").agg(F.countDistinct("entity").alias("n")), f"SELECT work, count(DISTINCT entity) AS n FROM ({PROPAGATED}) GROUP BY work"),
+    "x3_neighbours": (lambda s, d: _neighbours(s, d), "SELECT DISTINCT 'c' || c_custkey AS e FROM customer WHERE c_nationkey % 5 = 0 UNION SELECT DISTINCT 'r' || n_regionkey FROM nation WHERE n_nationkey % 5 = 0"),
+    "x4_classify_anonymise": (_classify("anonymise"), f"{BASE} SELECT doc_id, CASE WHEN quality = 1 THEN 'protect' ELSE 'anonymise' END AS verdict FROM d"),
+    "x4_classify_protect": (_classify("protect"), f"{BASE} SELECT doc_id, CASE WHEN quality = 1 THEN 'protect' WHEN toxic = 1 THEN 'anonymise' ELSE 'protect' END AS verdict FROM d"),
+    "x5_redacted_labels": (lambda s, d: _redacted(s, d).where((F.col("p") == PREFIX["rdfs"] + "label") & (F.col("o") == A.REDACTED)).select("s"), f"{BASE} SELECT '{EX}record/' || doc_id AS s FROM d WHERE coalesce(quality, 0) <> 1 UNION ALL SELECT {INST} FROM d WHERE coalesce(quality, 0) <> 1 AND doc_id % 71 <> 0 UNION ALL SELECT '{EX}tm_mime/' || doc_id FROM d WHERE quality = 0 AND doc_id % 71 <> 0"),
+    "x8_redacted_values": (lambda s, d: _redacted(s, d).where((F.col("p") == PREFIX["rdf"] + "value") & (F.col("o") == A.REDACTED)).select("s"), f"{BASE} SELECT '{EX}tm_mime/' || doc_id AS s FROM d WHERE quality = 0 AND doc_id % 71 <> 0"),
+    "x10_protected_metadata_left": (lambda s, d: A.redacted_metadata(_redacted(s, d), ["st_size", "Content-Type"]).agg(F.count("*").alias("n")), "SELECT CAST(0 AS BIGINT) AS n"),
+    "x11_flags": (lambda s, d: _redacted(s, d).where(F.col("p") == A.FLAG).groupBy(F.col("o").alias("flag")).agg(F.count("*").alias("n")), f"{BASE} SELECT CASE WHEN quality = 1 THEN 'no' ELSE 'yes' END AS flag, count(*) AS n FROM d GROUP BY 1"),
+    "x12_author_check": (_authors, "SELECT conv_id, turn, trim(coalesce(role, '')) = '' OR contains(lower(role), 'user') OR contains(lower(role), 'syst') AS ok FROM conversations"),
+    "x13_work_protection": (lambda s, d: A.redacted_work_entities(_redacted(s, d), lift.table(s, d, "labels").where("quality = 1").select(F.concat(F.lit(EX + "record/"), F.col("doc_id").cast("string")).alias("e"))).agg(F.count("*").alias("n")), "SELECT CAST(0 AS BIGINT) AS n"),
+    "n1_describable": (lambda s, d: A.describable(_redacted(s, d)).select("inst"), f"{BASE} SELECT {INST} AS inst FROM d WHERE quality = 1"),
+    "n2_prompts": (_prompts, f"""{BASE} SELECT {INST} AS inst, CASE WHEN doc_id % 17 <> 0 THEN 'Content-Type: Text/' || lang || '; charset=utf-8' || chr(10) ELSE '' END || 'MIMEType: text/' || source || chr(10) || 'st_size: ' || n_chars AS prompt,
+        CASE WHEN doc_id % 17 <> 0 THEN 'Text/' || lang || '; charset=utf-8' ELSE 'text/' || source END AS mime, CAST(n_chars AS VARCHAR) AS size FROM d WHERE known"""),
+    "r3_graph_registry": (_docs(A.graph_registry), _values([(f"{EX}graph/structure", None), (f"{EX}graph/metadata", f"{EX}graph/structure")], "g", "describes")),
+    "g_graph_triples": (_docs(lambda q: graph_overview(q).select("g", "n_subjects")), f"{BASE} SELECT '{EX}graph/metadata' AS g, 4 * count(*) + count(*) FILTER (known AND false) AS n_subjects FROM d WHERE known UNION ALL SELECT '{EX}graph/structure', 0"),
+    "d_duplicate_metadata": (_docs(lambda q: duplicate_metadata(q).agg(F.count("*").alias("n"))), "SELECT CAST(0 AS BIGINT) AS n"),
+    "c_inclusion_cycles": (lambda s, d: cycles(_inclusion_only(s, d)), f"{BASE} SELECT '{EX}set/' || lang AS s FROM leaf WHERE source = 'src1' OR lang = 'fr' UNION SELECT '{EX}set/' || lang || '_' || source FROM leaf WHERE source = 'src1'"),
+    "f1_date_spellings": (lambda s, d: _frame(s, [(x,) for x in DATE_CASES], "raw string").select("raw", S.normalize_date(F.col("raw")).alias("day")), _values(list(zip(DATE_CASES, DATE_WANT, strict=True)), "raw", "day")),
+    "f7_clean_mime": (lambda s, d: _frame(s, [("Text/HTML; charset=x",), (" image/png ",), ("model/x",), ("text",), ("text/a b",), ("",)], "raw string").select("raw", S.clean_mime(F.col("raw")).alias("mime")), _values([("Text/HTML; charset=x", "text/html"), (" image/png ", "image/png"), ("model/x", None), ("text", None), ("text/a b", None), ("", None)], "raw", "mime")),
+    "f8_title_keys": (lambda s, d: lift.table(s, d, "part").select("p_partkey", S.title_key(F.col("p_name")).alias("key")), "SELECT p_partkey, coalesce(nullif(left(trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '[ /\\\\-]', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_'), 100), ''), 'untitled') AS key FROM part"),
+    "k1_nquads_round_trip": (lambda s, d: _round_trip(s, d), "SELECT doc_id, text FROM documents"),
+    "a8_status_histogram": (lambda s, d: _i3(s, d).groupBy("kind").agg(F.count("*").alias("n")), "SELECT CASE WHEN doc_id % 31 = 0 THEN 'MISSING' WHEN doc_id % 43 = 0 THEN 'NEW' ELSE 'CHANGED' END AS kind, count(*) AS n FROM documents WHERE NOT (doc_id % 31 = 0 AND doc_id % 43 = 0) AND (doc_id % 31 = 0 OR doc_id % 43 = 0 OR doc_id % 41 = 0) GROUP BY 1"),
+}
+DOMAIN["g_graph_triples"] = (_docs(lambda q: graph_overview(q.where(F.endswith("g", F.lit("metadata")))).select("g", "n_subjects")), f"{BASE} SELECT '{EX}graph/metadata' AS g, 5 * count(*) AS n_subjects FROM d WHERE known HAVING count(*) > 0")
+
+
+def _inclusion_only(spark, sf_dir):
+    # folders alone: records never lie on a cycle
+    q = lift.documents(spark, sf_dir)
+    return q.where(F.startswith("s", F.lit(EX + "set/")))
+
+
+def _round_trip(spark, sf_dir):
+    d = lift.table(spark, sf_dir, "documents")
+    null = F.lit(None).cast("string")
+    q = d.select(F.concat(F.lit(EX), F.col("doc_id").cast("string")).alias("s"), F.lit(PREFIX["rdf"] + "value").alias("p"), F.col("text").alias("o"), F.lit(EX + "g").alias("g"), F.lit("lit").alias("o_kind"), null.alias("o_dt"), null.alias("o_lang"))
+    back = parse_nquads(format_nquads(q))
+    return back.select(F.substring_index("s", "/", -1).cast("long").alias("doc_id"), F.col("o").alias("text"))
+
+
+def _fallback(spark, sf_dir):
+    o, li = lift.table(spark, sf_dir, "orders"), lift.table(spark, sf_dir, "lineitem")
+    has = li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    rest = o.join(has, "o_orderkey", "left_anti")
+    return rest.select(F.col("o_orderkey").alias("entity"), S.normalize_date(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("day"))
+
+
+def _customer_dates(spark, sf_dir):
+    o = lift.table(spark, sf_dir, "orders")
+    day = S.normalize_date(F.date_format("o_orderdate", "d.M.yyyy"))
+    return o.groupBy(F.col("o_custkey").alias("entity")).agg(F.countDistinct(day).alias("n_days"))
+
+
+def _neighbours(spark, sf_dir):
+    n, c = lift.table(spark, sf_dir, "nation"), lift.table(spark, sf_dir, "customer")
+    name = lambda p, col: F.concat(F.lit(p), F.col(col).cast("string"))
+    inc = n.select(name("n", "n_nationkey").alias("child"), name("r", "n_regionkey").alias("parent")).unionByName(c.select(name("c", "c_custkey").alias("child"), name("n", "c_nationkey").alias("parent")))
+    return A.neighbours(n.where("n_nationkey % 5 = 0").select(name("n", "n_nationkey").alias("e")), inc)
+
 
 def queries():
-    return {}
+    out = {name: _docs(plan) for name, (plan, _) in CHECKS.items()}
+    return out | {name: q for name, (q, _) in DOMAIN.items()}
 
 
 def oracle_sql():
-    return {}
+    return VALIDATION_SQL | {name: sql for name, (_, sql) in DOMAIN.items()}
+
+
+__all__ = ["COUNTED", "LABELLED", "oracle_sql", "queries", "typed"]
