@@ -154,8 +154,10 @@ def write_token_files(docs: DataFrame, scratch: Scratch, vocabulary: str | None
 
 def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) read back from the files a manifest names."""
+    n_files = max(1, manifest.count())
     placed = manifest.withColumn("base", F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    placed = placed.select("url", F.coalesce("base", F.lit(0)).cast("long").alias("base")).repartition("url")
+    placed = placed.select("url", F.coalesce("base", F.lit(0)).cast("long").alias("base"))
+    placed = placed.repartition(n_files, "url")  # a given number: the few bytes of a manifest are not put into one task
 
     def make():
         def step(b: pa.RecordBatch):
