@@ -31,7 +31,8 @@ from quadrille.llm.graph import components
 from quadrille.llm.shared import Scratch, arrow_map, doc_ranges, string_buffer, text_slices
 from quadrille.llm.words import NOT_SPACE, PIECE, U, mix, shingle_sets, words_by_text
 
-SEGMENTS, BUCKETS, TILE, STARS = 8, 256, 2048, 3
+SEGMENTS, BUCKETS, TILE, STARS = 8, 1024, 2048, 4
+FULL = 255
 
 
 class Cut:
@@ -143,7 +144,7 @@ def _profiles(texts: DataFrame, k: int) -> DataFrame:
             for i, sets in _sets(b, 1, k):
                 counts, parts = [], []
                 for s in sets:
-                    counts.append(np.minimum(np.bincount((s & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 65535).astype("<u2").tobytes())
+                    counts.append(np.minimum(np.bincount((s & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), FULL).astype(np.uint8).tobytes())
                     at = np.searchsorted(s >> U(32), np.arange(SEGMENTS + 1, dtype=U) * U((1 << 32) // SEGMENTS))
                     parts.append([s[at[f] : at[f + 1]].tobytes() for f in range(SEGMENTS)])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.binary()), pa.array(parts, pa.list_(pa.binary()))], ["node", "n", "counts", "parts"])
@@ -154,9 +155,9 @@ def _profiles(texts: DataFrame, k: int) -> DataFrame:
 
 
 def _bound_allows(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the sum of lesser bucket counts leaves room for a link. Counts capped at 65535 only where a set is far larger than any cap matters: then the bound is not used."""
+    """Whether the sum of lesser bucket counts leaves room for a link. Sets with a bucket at FULL, where counts stop, pass."""
     most = np.minimum(x, y).sum(axis=-1, dtype=np.int64)
-    capped = (x == 65535).any(axis=-1) | (y == 65535).any(axis=-1)
+    capped = (x == FULL).any(axis=-1) | (y == FULL).any(axis=-1)
     return capped | ((100 + percent) * most >= percent * (nx + ny))
 
 
@@ -167,7 +168,7 @@ def _links(pairs: DataFrame, profiles: DataFrame, percent: int, scratch: Scratch
 
     def sift():
         def step(b):
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, BUCKETS) for c in ("ca", "cb"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("ca", "cb"))
             ok = _bound_allows(x, y, b.column("na").to_numpy(), b.column("nb").to_numpy(), percent)
             yield b.select(["a", "b", "na", "nb"]).filter(pa.array(ok))
 
@@ -192,7 +193,10 @@ def _links(pairs: DataFrame, profiles: DataFrame, percent: int, scratch: Scratch
 
     overlap = arrow_map(both.select("a", "b", "pa", "pb"), count, "a long, b long, fragment int, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
     linked = left.join(overlap, ["a", "b"]).where((100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb")))
-    return scratch.save(linked.select("a", "b", "common"), f"{name}-links")
+    out = scratch.save(linked.select("a", "b", "common"), f"{name}-links")
+    del held, both, overlap, linked
+    scratch.release()
+    return out
 
 
 def _star_pairs(rows: DataFrame) -> DataFrame:
@@ -233,7 +237,7 @@ def _tiles(members: DataFrame, profiles: DataFrame, percent: int, scratch: Scrat
 
     def pairs(group: pa.Table) -> pa.Table:
         node, comp, n, t = (group.column(c).to_numpy() for c in ("node", "comp", "n", "t"))
-        x = np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u2").reshape(-1, BUCKETS)
+        x = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS)
         t0, t1 = group.column("t0")[0].as_py(), group.column("t1")[0].as_py()
         a, b = [], []
         for i in np.flatnonzero(t == t0):
@@ -267,6 +271,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scr
     sigs = _signatures(docs, k, percent, seed)
     shared = sigs.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("sig", "size")
     members = scratch.save(sigs.join(shared, "sig").select("sig", "node", "size").distinct(), "members")
+    del sigs, shared
+    scratch.release()
     # a node whose fragments are widely shared stands in the middle of its group: it leads its blocks
     middle = scratch.save(members.groupBy("node").agg(F.sum("size").alias("weight")), "middle")
     wanted = middle.select("node").join(reps.select("node", F.col("rep").alias("doc_id")), "node")
