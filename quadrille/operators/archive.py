@@ -23,7 +23,7 @@ def ordinals(entries: DataFrame) -> DataFrame:
 
 def child_ids(entries: DataFrame, parent_id: str = "parent_id") -> DataFrame:
     """Adds id: the parent's id with _R<n> for files and _RS<n> for folders."""
-    return ordinals(entries).withColumn("id", F.concat(F.col(parent_id), F.when("is_dir", F.lit("_RS")).otherwise(F.lit("_R")), F.col("ordinal").cast("string")))
+    return ordinals(entries).withColumn("id", F.concat(F.col(parent_id), F.when(F.col("is_dir"), F.lit("_RS")).otherwise(F.lit("_R")), F.col("ordinal").cast("string")))
 
 
 def structure_quads(entries: DataFrame, graph: str, base: str) -> DataFrame:
@@ -31,7 +31,7 @@ def structure_quads(entries: DataFrame, graph: str, base: str) -> DataFrame:
     x = lambda k, c="id": F.concat(F.lit(f"{base}{k}/"), F.col(c))
     rec, inst, up, up_inst, loc, fix = x("record"), x("inst"), x("record", "parent_id"), x("inst", "parent_id"), x("location"), x("fixity")
     has, hashed = F.col("parent_id").isNotNull(), F.col("sha256").isNotNull()
-    cls = F.when("is_dir", F.lit(iri("rico:RecordSet"))).otherwise(F.lit(iri("rico:Record")))
+    cls = F.when(F.col("is_dir"), F.lit(iri("rico:RecordSet"))).otherwise(F.lit(iri("rico:Record")))
     return quad_rows(
         entries, graph,
         (rec, "rdf:type", cls, "iri"), (rec, "rdfs:label", F.col("name"), "lit"),
