@@ -270,19 +270,26 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scr
 
     sigs = _signatures(docs, k, percent, seed)
     shared = sigs.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("sig", "size")
+    shared = scratch.save(shared, "shared")
+    scratch.release()  # before the signatures are shuffled once more
     members = scratch.save(sigs.join(shared, "sig").select("sig", "node", "size").distinct(), "members")
     del sigs, shared
+    scratch.drop("shared")
     scratch.release()
     # a node whose fragments are widely shared stands in the middle of its group: it leads its blocks
     middle = scratch.save(members.groupBy("node").agg(F.sum("size").alias("weight")), "middle")
     wanted = middle.select("node").join(reps.select("node", F.col("rep").alias("doc_id")), "node")
     profiles = scratch.save(_profiles(docs.join(wanted, "doc_id").select("node", "text").dropDuplicates(["node"]), k), "profiles")
     weighed = scratch.save(members.select("sig", "node").join(middle, "node"), "weighed")
+    del members
+    scratch.drop("members")
+    scratch.release()
     leaders = weighed.groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("top")).select("sig", F.col("top.node").alias("leader"))
     tried = scratch.save(_star_pairs(weighed.join(leaders, "sig").select("node", "leader")), "stars-0")
     links = _links(tried, profiles, percent, scratch, "stars-0")
     comp = components(links, scratch, "near-0")
-    split = scratch.save(_split_blocks(members.select("sig", "node"), comp), "split-0")
+    split = scratch.save(_split_blocks(weighed.select("sig", "node"), comp), "split-0")
+    scratch.drop("weighed")
     for i in range(1, STARS):
         more = scratch.save(_cross_stars(split, i).join(tried, ["a", "b"], "left_anti"), f"stars-{i}")
         tried = tried.unionByName(more)
@@ -290,6 +297,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scr
         comp = components(links.select("a", "b"), scratch, f"near-{i}")
         split = scratch.save(_split_blocks(split.select("sig", "node"), comp), f"split-{i}")
         scratch.drop(f"split-{i - 1}")
+    scratch.release()
     rest = scratch.save(_tiles(split, profiles, percent, scratch).join(tried, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(_links(rest, profiles, percent, scratch, "rest"))
 

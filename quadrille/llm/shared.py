@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,8 +41,10 @@ class Scratch:
 
     def release(self) -> None:
         """Have shuffle files deleted that no plan refers to any more; Spark's cleaner only sees them after a collection."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the first collection queues what the second one finds unreachable
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
