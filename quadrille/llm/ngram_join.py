@@ -154,13 +154,22 @@ def _profiles(texts: DataFrame, k: int) -> DataFrame:
     return arrow_map(texts, make, "node long, n long, counts binary, parts array<binary>")
 
 
-def _bound_allows(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the sum of lesser bucket counts leaves room for a link. Sets with a bucket at FULL, where counts stop, pass."""
-    most = np.minimum(x, y).sum(axis=-1, dtype=np.int64)
-    capped = (x == FULL).any(axis=-1) | (y == FULL).any(axis=-1)
+def _lesser(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row sums of the lesser of two tables of bucket counts. Bytes are added in 16-bit lanes, which hold BUCKETS / 4 of them."""
+    low, lanes = U(0x00FF00FF00FF00FF), np.minimum(x, y).view(U)
+    total = ((lanes & low) + (lanes >> U(8) & low)).sum(axis=-1, dtype=U)
+    return sum((total >> U(at) & U(0xFFFF)).astype(np.int64) for at in (0, 16, 32, 48))
+
+
+def _bound_allows(most: np.ndarray, nx: np.ndarray, ny: np.ndarray, capped: np.ndarray, percent: int) -> np.ndarray:
+    """Whether an overlap of at most this leaves room for a link. Sets with a bucket at FULL, where counts stop, pass."""
     return capped | ((100 + percent) * most >= percent * (nx + ny))
 
 
+def _is_capped(x: np.ndarray) -> np.ndarray:
+    return x.max(axis=-1, initial=0) == FULL
+
+
 def _links(pairs: DataFrame, profiles: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Of the pairs (a, b), those that link: overlaps counted by fragment and summed per pair."""
     small = profiles.select("node", "n", "counts")
@@ -169,7 +178,7 @@ def _links(pairs: DataFrame, profiles: DataFrame, percent: int, scratch: Scratch
     def sift():
         def step(b):
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("ca", "cb"))
-            ok = _bound_allows(x, y, b.column("na").to_numpy(), b.column("nb").to_numpy(), percent)
+            ok = _bound_allows(_lesser(x, y), b.column("na").to_numpy(), b.column("nb").to_numpy(), _is_capped(x) | _is_capped(y), percent)
             yield b.select(["a", "b", "na", "nb"]).filter(pa.array(ok))
 
         return step
@@ -224,34 +233,53 @@ def _cross_stars(split: DataFrame, seed: int) -> DataFrame:
 def _tiles(members: DataFrame, profiles: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """members (sig, node, comp) of blocks that hold several components: the pairs across components that the bounds allow.
 
-    Blocks with the same nodes count once; blocks of two are pairs already.
+    Blocks with the same nodes count once; blocks of two are pairs already. Those with the same least node are gone
+    through together, so that a node's bucket counts are sent once for all of them. Each node comes with the blocks it
+    is in, as 32-bit hashes: a clash adds pairs to count, and loses none.
     """
     same = (F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h1"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("h2"))
     blocks = members.groupBy("sig").agg(F.count("*").alias("size"), F.min("node").alias("a"), F.max("node").alias("b"), *same)
     blocks = scratch.save(blocks.groupBy("size", "h1", "h2", "a", "b").agg(F.min("sig").alias("sig")), "blocks")
     twos = blocks.where("size = 2").select("a", "b")
-    rows = members.join(blocks.where("size > 2").select("sig", "size"), "sig").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("t", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    held = members.join(blocks.where("size > 2").select("sig", F.col("a").alias("lead")), "sig")
+    held = scratch.save(held.groupBy("lead", "node", "comp").agg(F.collect_list(F.hash("sig")).alias("blocks")), "held")
+    large = held.groupBy("lead").agg(F.count("*").alias("size")).where(F.col("size") > TILE).select("lead", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    rows = held.join(large, "lead", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("t", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("sig", "node", "comp", "t", F.least("t", "other").alias("t0"), F.greatest("t", "other").alias("t1"))
+    rows = rows.select("lead", "node", "comp", "blocks", "t", F.least("t", "other").alias("t0"), F.greatest("t", "other").alias("t1"))
     rows = rows.join(profiles.select("node", "n", "counts"), "node")
 
     def pairs(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
         node, comp, n, t = (group.column(c).to_numpy() for c in ("node", "comp", "n", "t"))
         x = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+        capped, coarse = _is_capped(x), x.reshape(len(x), 64, -1).sum(axis=-1, dtype=np.int32)
+        lists = group.column("blocks").to_pylist()
+        row = np.repeat(np.arange(len(node)), [len(v) for v in lists])
+        _, block = np.unique(np.concatenate([np.array(v, np.int32) for v in lists]), return_inverse=True)
+        upper = np.flatnonzero(t[row] == group.column("t1")[0].as_py())
+        upper = upper[np.argsort(block[upper], kind="stable")]
+        inside, ends = row[upper], np.searchsorted(block[upper], np.arange(int(block.max()) + 2))
         t0, t1 = group.column("t0")[0].as_py(), group.column("t1")[0].as_py()
+        first = np.concatenate(([0], np.cumsum([len(v) for v in lists])))
         a, b = [], []
         for i in np.flatnonzero(t == t0):
-            ok = (comp != comp[i]) & (t == t1) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            ok = np.zeros(len(node), bool)
+            for k in block[first[i] : first[i + 1]]:
+                ok[inside[ends[k] : ends[k + 1]]] = True
+            ok &= (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             if t0 == t1:
                 ok &= node > node[i]
             j = np.flatnonzero(ok)
-            j = j[_bound_allows(x[j], x[i], n[j], n[i], percent)] if len(j) else j
+            for bound in (lambda j: np.minimum(coarse[j], coarse[i]).sum(axis=-1, dtype=np.int64), lambda j: _lesser(x[j], x[i])):
+                if len(j):
+                    j = j[_bound_allows(bound(j), n[j], n[i], capped[j] | capped[i], percent)]
             a.append(np.minimum(node[j], node[i]))
             b.append(np.maximum(node[j], node[i]))
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
-    return rows.groupBy("sig", "t0", "t1").applyInArrow(pairs, "a long, b long").unionByName(twos).distinct()
+    return rows.groupBy("lead", "t0", "t1").applyInArrow(pairs, "a long, b long").unionByName(twos).distinct()
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
