@@ -4,14 +4,17 @@ The global order of shingles (that of their 64-bit hashes) is cut into fragments
 only if they differ in at most d = (1 - t) / (1 + t) * (x + y) elements, so of more than d fragments at least
 one holds the same elements in both. Sets of a size class are cut into as many fragments as that needs for the
 largest pair of the class; equal fragments bring two sets together, and no frequent shingle or shared passage
-does so on its own. What is brought together is then counted exactly: overlaps of SEGMENTS coarser fragments
+does so on its own. Two sets that link share not just one fragment but as many as those they may differ in leave
+over; of each set's fragments the most shared ones, one fewer than that number, are therefore left out, and the
+rest still meet (a prefix filter over fragments, in the order of their frequency). What is brought together is then counted exactly: overlaps of SEGMENTS coarser fragments
 separately, summed per pair.
 
 No set is compared with all others of a group. Equal sets are one node beforehand. Of the nodes that share a
 fragment, each is first counted against the one of its fragments' leaders with which it shares most fragments, in
 STARS rounds, whose later ones take leaders across the components that the links so far make. Only pairs of nodes
-that are still in different components are enumerated, inside bounded tiles, and a bound from bucket counts (the overlap is at most the sum of lesser counts) drops those that cannot
-link before anything is emitted. Both filters are lossless, so the components are those of all links.
+that are still in different components are enumerated, inside bounded tiles, and a bound from sketches drops those that cannot link
+before anything is emitted. A sketch has the parity of each bucket's elements: two sets differ in at least as many
+elements as their sketches in bits. All filters are lossless, so the components are those of all links.
 
 Fragments may be empty; sizes leave room for SLACK of them, and the few sets with more also meet on their empty
 fragments. Hashes have 64 bits; if two different sets get one node hash, all is done again with another seed.
@@ -24,15 +27,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.graph import components
 from quadrille.llm.shared import Scratch, arrow_map, doc_ranges, string_buffer, text_slices
 from quadrille.llm.words import NOT_SPACE, PIECE, U, mix, shingle_sets, words_by_text
 
-SEGMENTS, BUCKETS, TILE, STARS = 8, 1024, 2048, 4
-FULL = 255
+SEGMENTS, TILE, STARS = 8, 2048, 4
+LEAST_BITS, BRIEF_BITS, MOST_BITS = 64, 2048, 8192
 
 
 class Cut:
@@ -66,6 +69,10 @@ class Cut:
 
     def signatures(self, s: np.ndarray, seed: int) -> list[np.ndarray]:
         """One hash for each fragment of a sorted set that may bring it together with another set."""
+        return [sig for _, _, sig in self.rated(s, seed)]
+
+    def rated(self, s: np.ndarray, seed: int) -> list[tuple[int, int, np.ndarray]]:
+        """(size class, how many of these any set that links here shares at least, signatures)."""
         n, out = len(s), []
         if self.differ(2 * n * 100 // self.percent) == 0:
             return out  # only an equal set could link
@@ -81,9 +88,11 @@ class Cut:
             ident = sums[ends[1:]] - sums[ends[:-1]]
             tags = (np.arange(k, dtype=U) + U(c << 40)) * U(0xD6E8FEB86659FD93)
             sig = mix(mix(ident + (ends[1:] - ends[:-1]).astype(U)) + tags)
+            # at most `differ` fragments are unequal; of the equal ones, some are empty and may not be given
+            need = k - self.differ(n + min(self.top(c), 100 * n // self.percent)) - min(int(empty.sum()), slack)
             if int(empty.sum()) <= slack:
                 sig = sig[~empty]
-            out.append(sig)
+            out.append((c, need, sig))
         return out
 
 
@@ -96,6 +105,25 @@ def node_of(s: np.ndarray, seed: int) -> tuple[int, int]:
     return int(node), int(check)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of a set's buckets as bits; about as many buckets as elements, within limits."""
+    bits = min(max(LEAST_BITS, 1 << (len(s) - 1).bit_length()), MOST_BITS)
+    return np.packbits(np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def fold(x: np.ndarray, words: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, brought down to so many: buckets with the same low bits become one."""
+    while x.shape[1] > words:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
+
+
+def _by_width(sketches: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Number of words: (places in the list, rows of words)."""
+    size = np.array([len(x) // 8 for x in sketches], np.int64)
+    return {int(w): (at := np.flatnonzero(size == w), np.frombuffer(b"".join([sketches[i] for i in at]), U).reshape(-1, w)) for w in np.unique(size)}
+
+
 def _sets(b: pa.RecordBatch, at: int, k: int):
     data, off = string_buffer(b.column(at))
     for i, j in doc_ranges(off, PIECE):
@@ -121,60 +149,64 @@ def _signatures(docs: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
 
         def step(b):
             for _, sets in _sets(b, 1, k):
-                sig, node, had = [], [], set()
+                sig, node, rule, had = [], [], [], set()
                 for s in sets:
                     if len(s) and (x := node_of(s, seed)[0]) not in had:
                         had.add(x)
-                        for part in cut.signatures(s, seed):
+                        for c, need, part in cut.rated(s, seed):
                             sig.append(part)
                             node.append(np.full(len(part), x, np.int64))
+                            rule.append(np.full(len(part), (c << 40) + need, np.int64))
                 if sig:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(node))], ["sig", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([y.view(np.int64) for y in sig], node, rule)], ["sig", "node", "rule"])
 
         return step
 
-    return arrow_map(docs, make, "sig long, node long")
+    return arrow_map(docs, make, "sig long, node long, rule long")
 
 
 def _profiles(texts: DataFrame, k: int) -> DataFrame:
-    """texts: node, text. Rows (node, n, counts, parts): bucket counts, and the set cut into SEGMENTS fragments."""
+    """texts: node, text. Rows (node, n, brief, sketch, parts): sketches, and the set cut into SEGMENTS fragments."""
 
     def make():
         def step(b):
             for i, sets in _sets(b, 1, k):
-                counts, parts = [], []
+                brief, full, parts = [], [], []
                 for s in sets:
-                    counts.append(np.minimum(np.bincount((s & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), FULL).astype(np.uint8).tobytes())
+                    full.append(sketch(s))
+                    brief.append(fold(np.frombuffer(full[-1], U)[None], BRIEF_BITS // 64).tobytes())
                     at = np.searchsorted(s >> U(32), np.arange(SEGMENTS + 1, dtype=U) * U((1 << 32) // SEGMENTS))
                     parts.append([s[at[f] : at[f + 1]].tobytes() for f in range(SEGMENTS)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.binary()), pa.array(parts, pa.list_(pa.binary()))], ["node", "n", "counts", "parts"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(brief, pa.binary()), pa.array(full, pa.binary()), pa.array(parts, pa.list_(pa.binary()))], ["node", "n", "brief", "sketch", "parts"])
 
         return step
 
-    return arrow_map(texts, make, "node long, n long, counts binary, parts array<binary>")
+    return arrow_map(texts, make, "node long, n long, brief binary, sketch binary, parts array<binary>")
 
 
-def _bound_allows(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the sum of lesser bucket counts leaves room for a link. Sets with a bucket at FULL, where counts stop, pass."""
-    most = np.minimum(x, y).sum(axis=-1, dtype=np.int64)
-    capped = (x == FULL).any(axis=-1) | (y == FULL).any(axis=-1)
-    return capped | ((100 + percent) * most >= percent * (nx + ny))
+def _bound_allows(x: np.ndarray, y: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches of one width differ in few enough bits for a link of sets of this total size."""
+    return (100 + percent) * np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= (100 - percent) * total
 
 
 def _links(pairs: DataFrame, profiles: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Of the pairs (a, b), those that link: overlaps counted by fragment and summed per pair."""
-    small = profiles.select("node", "n", "counts")
-    held = pairs.join(small.toDF("a", "na", "ca"), "a").join(small.toDF("b", "nb", "cb"), "b")
+    small = profiles.select("node", "n", "sketch")
+    held = pairs.join(small.toDF("a", "na", "sa"), "a").join(small.toDF("b", "nb", "sb"), "b")
 
     def sift():
         def step(b):
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("ca", "cb"))
-            ok = _bound_allows(x, y, b.column("na").to_numpy(), b.column("nb").to_numpy(), percent)
+            total = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            xs, ys, ok = _by_width(b.column("sa").to_pylist()), _by_width(b.column("sb").to_pylist()), np.zeros(len(total), bool)
+            for v, (i, x) in xs.items():
+                for w, (j, y) in ys.items():
+                    at, p, q = np.intersect1d(i, j, assume_unique=True, return_indices=True)
+                    ok[at] = _bound_allows(fold(x[p], min(v, w)), fold(y[q], min(v, w)), total[at], percent)
             yield b.select(["a", "b", "na", "nb"]).filter(pa.array(ok))
 
         return step
 
-    left = scratch.save(arrow_map(held.select("a", "b", "na", "nb", "ca", "cb"), sift, "a long, b long, na long, nb long"), f"{name}-sifted")
+    left = scratch.save(arrow_map(held.select("a", "b", "na", "nb", "sa", "sb"), sift, "a long, b long, na long, nb long"), f"{name}-sifted")
     parts = profiles.select("node", "parts")
     both = left.join(parts.toDF("a", "pa"), "a").join(parts.toDF("b", "pb"), "b")
 
@@ -233,21 +265,26 @@ def _tiles(members: DataFrame, profiles: DataFrame, percent: int, scratch: Scrat
     rows = members.join(blocks.where("size > 2").select("sig", "size"), "sig").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("t", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("sig", "node", "comp", "t", F.least("t", "other").alias("t0"), F.greatest("t", "other").alias("t1"))
-    rows = rows.join(profiles.select("node", "n", "counts"), "node")
+    rows = rows.join(profiles.select("node", "n", "brief"), "node")
 
     def pairs(group: pa.Table) -> pa.Table:
         node, comp, n, t = (group.column(c).to_numpy() for c in ("node", "comp", "n", "t"))
-        x = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS)
         t0, t1 = group.column("t0")[0].as_py(), group.column("t1")[0].as_py()
+        rows = _by_width(group.column("brief").to_pylist())
         a, b = [], []
-        for i in np.flatnonzero(t == t0):
-            ok = (comp != comp[i]) & (t == t1) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            if t0 == t1:
-                ok &= node > node[i]
-            j = np.flatnonzero(ok)
-            j = j[_bound_allows(x[j], x[i], n[j], n[i], percent)] if len(j) else j
-            a.append(np.minimum(node[j], node[i]))
-            b.append(np.maximum(node[j], node[i]))
+        for v, (left, x) in rows.items():
+            for w, (right, y) in rows.items():
+                x0, y0 = fold(x, min(v, w)), fold(y, min(v, w))
+                fits = t[right] == t1
+                for at in np.flatnonzero(t[left] == t0):
+                    i = left[at]
+                    ok = fits & (comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))
+                    if t0 == t1:
+                        ok &= node[right] > node[i]
+                    j = np.flatnonzero(ok)
+                    j = right[j[_bound_allows(y0[j], x0[at], n[right[j]] + n[i], percent)]]
+                    a.append(np.minimum(node[j], node[i]))
+                    b.append(np.maximum(node[j], node[i]))
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
@@ -272,18 +309,22 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scr
     shared = sigs.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("sig", "size")
     shared = scratch.save(shared, "shared")
     scratch.release()  # before the signatures are shuffled once more
-    members = scratch.save(sigs.join(shared, "sig").select("sig", "node", "size").distinct(), "members")
+    members = scratch.save(sigs.join(shared, "sig").select("sig", "node", "rule", "size").distinct(), "members")
     del sigs, shared
     scratch.drop("shared")
     scratch.release()
+    # of a node's fragments in one class, the `need` - 1 most shared are left out
+    met = members.repartition("node")
+    often = Window.partitionBy("node", "rule").orderBy(F.desc("size"), F.desc("sig"))
+    met = met.withColumn("rank", F.row_number().over(often)).where(F.col("rank") >= F.col("rule").bitwiseAND((1 << 40) - 1))
     # a node whose fragments are widely shared stands in the middle of its group: it leads its blocks
-    middle = scratch.save(members.groupBy("node").agg(F.sum("size").alias("weight")), "middle")
-    wanted = middle.select("node").join(reps.select("node", F.col("rep").alias("doc_id")), "node")
-    profiles = scratch.save(_profiles(docs.join(wanted, "doc_id").select("node", "text").dropDuplicates(["node"]), k), "profiles")
-    weighed = scratch.save(members.select("sig", "node").join(middle, "node"), "weighed")
-    del members
+    weighed = scratch.save(met.select("sig", "node", F.sum("size").over(Window.partitionBy("node")).alias("weight")), "weighed")
+    del members, met
     scratch.drop("members")
     scratch.release()
+    wanted = weighed.select("node").distinct().join(reps.select("node", F.col("rep").alias("doc_id")), "node")
+    profiles = scratch.save(_profiles(docs.join(wanted, "doc_id").select("node", "text").dropDuplicates(["node"]), k), "profiles")
+    scratch.release()
     leaders = weighed.groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("top")).select("sig", F.col("top.node").alias("leader"))
     tried = scratch.save(_star_pairs(weighed.join(leaders, "sig").select("node", "leader")), "stars-0")
     links = _links(tried, profiles, percent, scratch, "stars-0")

@@ -265,6 +265,26 @@ def test_fragments_lose_no_link():
                 assert a & b, (n, drop)
 
 
+def test_linked_sets_share_what_they_need():
+    rng = np.random.default_rng(1)
+    draw = lambda m: rng.integers(0, 1 << 63, m).astype(np.uint64)
+    for percent in (80, 85):
+        cut = ngram_join.Cut(percent)
+        for n in [*range(6, 80), 150, 151, 400, 2000]:
+            s = np.unique(draw(n))
+            for drop in range(0, n // 4 + 1):
+                t = np.unique(np.concatenate([s[drop:], draw(int(rng.integers(0, drop + 1)))]))
+                common = len(np.intersect1d(s, t))
+                linked = 100 * common >= percent * (len(s) + len(t) - common)
+                x, y = (np.frombuffer(ngram_join.sketch(z), np.uint64)[None] for z in (s, t))
+                words = min(x.shape[1], y.shape[1])
+                if linked and drop:
+                    assert ngram_join._bound_allows(ngram_join.fold(x, words), ngram_join.fold(y, words), len(s) + len(t), percent)[0]
+                    a, b = ({c: (need, set(sig.tolist())) for c, need, sig in cut.rated(z, 1)} for z in (s, t))
+                    c = max(min(a), min(b))  # the larger set's own class
+                    assert max(1, a[c][0], b[c][0]) <= len(a[c][1] & b[c][1]), (percent, n, drop)
+
+
 def test_language(spark, docs, odd, none):
     got = {r["doc_id"]: r for r in language_id.language_report(read_table(spark, "/root/testdata/sf0.01", "documents")).collect()}
     lang = {r["doc_id"]: r["lang"] for r in read_table(spark, "/root/testdata/sf0.01", "documents").collect()}
