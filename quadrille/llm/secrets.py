@@ -1,8 +1,9 @@
 """Secret scans by token efficiency.
 
 Three fixed kinds of pattern are found everywhere; beyond them, a run of 24 or more base64-like characters
-that spends many tokens on few characters under a tiktoken vocabulary is reported as ``entropy``, unless it
-is a known digest or an identifier. Offsets are code points, ends exclusive.
+that spends many tokens on few letters and digits under a tiktoken vocabulary is reported as ``entropy``, unless
+it is a known digest or a UUID. Separators have no weight, so that names made of words and numbers are told by
+the ratio alone. Offsets are code points, ends exclusive.
 
 Null and empty texts have no spans. Repeated rows are judged one by one; extra columns are ignored. Texts of
 any length are scanned whole.
@@ -31,10 +32,7 @@ KINDS = (*BASE_KINDS, "entropy")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
 #: Digests in upper-case hexadecimal by length (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), and UUIDs.
-DIGEST = re.compile(r"[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128}")
-UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-#: Names made of words and numbers: paths, snake or kebab case, camel case with few digits.
-IDENTIFIER = re.compile(r"[/_=-]*(?:(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})[/_=-]*)+")
+KNOWN = re.compile(r"[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128}|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -49,13 +47,23 @@ def _ranks(path: str):
     return tiktoken.Encoding("runs", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _tokens(piece: str, enc) -> list[tuple[int, int]]:
+    """Places of the tokens that hold letters or digits; the split pattern never joins those with separators."""
+    out, at = [], 0
+    for t in enc.encode_ordinary(piece):
+        end = at + len(enc.decode_single_token_bytes(t))
+        if piece[at].isalnum():
+            out.append((at, end))
+        at = end
+    return out
+
+
 def inefficient(run: str, enc, most: float) -> bool:
-    """Fewer than ``most`` characters a token, with digits and letters mixed, and neither digest nor identifier."""
-    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-        return False
-    if DIGEST.fullmatch(run) or UUID.search(run) or IDENTIFIER.fullmatch(run):
+    """Fewer than ``most`` letters and digits a token that holds some, and neither digest nor UUID."""
+    if KNOWN.fullmatch(run):
         return False
-    return len(run) < most * len(enc.encode_ordinary(run))
+    tokens = _tokens(run, enc)
+    return sum(e - s for s, e in tokens) < most * len(tokens)
 
 
 def spans_of(text: str, enc, most: float) -> list[tuple[str, int, int]]:
