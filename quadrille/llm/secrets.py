@@ -1,9 +1,10 @@
 """Secret scans by token efficiency.
 
-Three fixed kinds of pattern are found everywhere; beyond them, a run of 24 or more base64-like characters
-that spends many tokens on few letters and digits under a tiktoken vocabulary is reported as ``entropy``, unless
-it is a known digest or a UUID. Separators have no weight, so that names made of words and numbers are told by
-the ratio alone. Offsets are code points, ends exclusive.
+Three fixed kinds of pattern are found everywhere; beyond them, 24 or more base64-like characters that spend
+many tokens on few letters and digits under a tiktoken vocabulary are reported as ``entropy``: whole runs, or
+the stretches of a run that do so. Digests in upper case and UUIDs that stand alone or between separators are
+left out, and what the fixed kinds take; the rest of such a run is tested. Separators have no weight, so that names
+made of words and numbers are told by the ratio alone. Offsets are code points, ends exclusive.
 
 Null and empty texts have no spans. Repeated rows are judged one by one; extra columns are ignored. Texts of
 any length are scanned whole.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import re
 
 import pyarrow as pa
@@ -30,9 +32,11 @@ ASSIGN_LEAST = 6
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "entropy")
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
+LEAST, SHORT = 24, 3
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Digests in upper-case hexadecimal by length (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), and UUIDs.
 KNOWN = re.compile(r"[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128}|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+KNOWN_PART = re.compile(rf"(?<![A-Za-z0-9])(?:{KNOWN.pattern})(?![A-Za-z0-9])")
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -66,14 +70,91 @@ def inefficient(run: str, enc, most: float) -> bool:
     return sum(e - s for s, e in tokens) < most * len(tokens)
 
 
+def _dense(sizes: list[int], most: float) -> list[tuple[int, int]]:
+    """Ranges of tokens that no longer range beats in ``most`` times its tokens less their characters (Ruzzo and Tompa, in linear time)."""
+    kept: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum after, last range with less before it
+    total = 0.0
+    for k, n in enumerate(sizes):
+        before, total = total, total + most - n
+        if total <= before:
+            continue
+        first, low = k, before
+        while True:
+            j = len(kept) - 1
+            while j >= 0 and kept[j][2] >= low:
+                j = kept[j][4]
+            if j < 0 or kept[j][3] >= total:
+                break
+            first, low = kept[j][0], kept[j][2]
+            del kept[j:]
+        kept.append((first, k + 1, low, total, j))
+    return [r[:2] for r in kept]
+
+
+def random_parts(piece: str, enc, most: float) -> list[tuple[int, int]]:
+    """The whole piece if it is inefficient, or else its stretches of LEAST characters that are.
+
+    A dense stretch is drawn out while it stays inefficient: to the next separators, else over short tokens glued to
+    it, then over any token until it has LEAST characters.
+    """
+    tokens = _tokens(piece, enc)
+    sizes = [e - s for s, e in tokens]
+    if sum(sizes) < most * len(sizes):
+        return [(0, len(piece))]
+    n, before = len(sizes), [0, *itertools.accumulate(sizes)]
+    left, right = list(range(n)), list(range(1, n + 1))  # each token's first and last neighbour without a separator between
+    for k in range(1, n):
+        if tokens[k - 1][1] == tokens[k][0]:
+            left[k] = left[k - 1]
+    for k in range(n - 2, -1, -1):
+        if tokens[k][1] == tokens[k + 1][0]:
+            right[k] = right[k + 1]
+    fits = lambda i, j: before[j] - before[i] < most * (j - i)
+    out: list[tuple[int, int]] = []
+    for i, j in _dense(sizes, most):
+        x, y = left[i], right[j - 1]
+        i, j = next(w for w in ((x, y), (x, j), (i, y), (i, j)) if fits(*w))
+        while i > x and sizes[i - 1] <= SHORT and fits(i - 1, j):
+            i -= 1
+        while j < y and sizes[j] <= SHORT and fits(i, j + 1):
+            j += 1
+        while tokens[j - 1][1] - tokens[i][0] < LEAST:
+            beside = [(sizes[k], w) for k, w in ((i - 1, (i - 1, j)), (j, (i, j + 1))) if 0 <= k < n and fits(*w)]
+            if not beside:
+                break
+            i, j = min(beside)[1]
+        s, e = tokens[i][0], tokens[j - 1][1]
+        if e - s < LEAST:
+            continue
+        while e < len(piece) and piece[e] == "=":
+            e += 1
+        while out and s < out[-1][1]:
+            a, z = out.pop()
+            s, e = min(a, s), max(z, e)
+        out.append((s, e))
+    return out
+
+
+def _rest(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the taken places leave of start .. end, where that is LEAST characters at least."""
+    out = []
+    for s, e in [*sorted(taken), (end, end)]:
+        if s - start >= LEAST:
+            out.append((start, min(s, end)))
+        start = max(start, e)
+    return out
+
+
 def spans_of(text: str, enc, most: float) -> list[tuple[str, int, int]]:
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    base = list(found)
+    base = [(s, e) for _, s, e in found]
     for m in RUN.finditer(text):
-        if not any(s < m.end() and m.start() < e for _, s, e in base) and inefficient(m[0], enc, most):
-            found.append(("entropy", m.start(), m.end()))
+        taken = [(s, e) for s, e in base if s < m.end() and m.start() < e]
+        taken += [(k.start() + m.start(), k.end() + m.start()) for k in KNOWN_PART.finditer(m[0])]
+        for a, z in _rest(m.start(), m.end(), taken):
+            found += [("entropy", a + s, a + e) for s, e in random_parts(text[a:z], enc, most)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
