@@ -3,7 +3,8 @@
 Both public BPE files split a text with one regular expression before any merge, so a piece's ids depend
 on that piece alone. Within characters up to U+017F (without control characters, NBSP and dotted I) the
 expression means the same to Python's ``re``; such texts are split here and each new piece is given to the
-library's BPE model once. Any other text goes to the library whole. Ids equal the library's in either case.
+library's BPE model once. Any other text goes to the library whole, as does one that holds an added token, such as
+``<|endoftext|>``, which the library gives that token's id. Ids equal those of the library as loaded in any case.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [a.content for a in self.tok.get_added_tokens_decoder().values()]
         self.tail = b"" if end is None else int(end).to_bytes(4, "little")
         byte_level = self.tok.normalizer is None
         self.lower = not byte_level
@@ -82,9 +83,9 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get, find, out = self.known.get, self.split.findall, []
+        get, find, added, out = self.known.get, self.split.findall, self.added, []
         for text in texts:
-            if ODD.search(text):
+            if ODD.search(text) or any(a in text for a in added):
                 out.append(self._library([text])[0] + self.tail)
                 continue
             pieces = find(text.lower() if self.lower else text)
