@@ -71,12 +71,15 @@ def two_cycles(q: DataFrame) -> DataFrame:
     return e.join(e.select(F.col("s").alias("o"), F.col("o").alias("s")), ["s", "o"]).where("s < o")
 
 
-def cycles(q: DataFrame, doublings: int = 3) -> DataFrame:
-    """Nodes on an inclusion cycle of up to 2 ** doublings edges: reachability squared, kept distinct, so loops can't multiply rows."""
-    reach = pattern(q, "rico:isOrWasIncludedIn")
-    for _ in range(doublings):
+def cycles(q: DataFrame) -> DataFrame:
+    """Nodes on an inclusion cycle of any length: reachability squared, kept distinct, until it no longer grows."""
+    reach = pattern(q, "rico:isOrWasIncludedIn").persist()
+    n, before = reach.count(), -1
+    while n != before:
         longer = reach.toDF("s", "m").join(reach.toDF("m", "o"), "m").select("s", "o")
-        reach = reach.unionByName(longer).distinct()
+        reach, last = reach.unionByName(longer).distinct().persist(), reach
+        before, n = n, reach.count()
+        last.unpersist()
     return reach.where("s = o").select("s")
 
 

@@ -260,7 +260,7 @@ DOMAIN = {
     "r3_graph_registry": (_docs(A.graph_registry), _values([(f"{EX}graph/structure", None), (f"{EX}graph/metadata", f"{EX}graph/structure")], "g", "describes")),
     "g_graph_triples": (_docs(lambda q: graph_overview(q).select("g", "n_subjects")), f"{BASE} SELECT '{EX}graph/metadata' AS g, 4 * count(*) + count(*) FILTER (known AND false) AS n_subjects FROM d WHERE known UNION ALL SELECT '{EX}graph/structure', 0"),
     "d_duplicate_metadata": (_docs(lambda q: duplicate_metadata(q).agg(F.count("*").alias("n"))), "SELECT CAST(0 AS BIGINT) AS n"),
-    "c_inclusion_cycles": (lambda s, d: cycles(_inclusion_only(s, d)), f"{BASE} SELECT '{EX}set/' || lang AS s FROM leaf WHERE source = 'src1' OR lang = 'fr' UNION SELECT '{EX}set/' || lang || '_' || source FROM leaf WHERE source = 'src1'"),
+    "c_inclusion_cycles": (_docs(cycles), f"{BASE} SELECT '{EX}set/' || lang AS s FROM leaf WHERE source = 'src1' OR lang = 'fr' UNION SELECT '{EX}set/' || lang || '_' || source FROM leaf WHERE source = 'src1'"),
     "f1_date_spellings": (lambda s, d: _frame(s, [(x,) for x in DATE_CASES], "raw string").select("raw", S.normalize_date(F.col("raw")).alias("day")), _values(list(zip(DATE_CASES, DATE_WANT, strict=True)), "raw", "day")),
     "f7_clean_mime": (lambda s, d: _frame(s, [("Text/HTML; charset=x",), (" image/png ",), ("model/x",), ("text",), ("text/a b",), ("",)], "raw string").select("raw", S.clean_mime(F.col("raw")).alias("mime")), _values([("Text/HTML; charset=x", "text/html"), (" image/png ", "image/png"), ("model/x", None), ("text", None), ("text/a b", None), ("", None)], "raw", "mime")),
     "f8_title_keys": (lambda s, d: lift.table(s, d, "part").select("p_partkey", S.title_key(F.col("p_name")).alias("key")), "SELECT p_partkey, coalesce(nullif(left(trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '[ /\\\\-]', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_'), 100), ''), 'untitled') AS key FROM part"),
@@ -270,12 +270,6 @@ DOMAIN = {
 DOMAIN["g_graph_triples"] = (_docs(lambda q: graph_overview(q.where(F.endswith("g", F.lit("metadata")))).select("g", "n_subjects")), f"{BASE} SELECT '{EX}graph/metadata' AS g, 5 * count(*) AS n_subjects FROM d WHERE known HAVING count(*) > 0")
 
 
-def _inclusion_only(spark, sf_dir):
-    # folders alone: records never lie on a cycle
-    q = lift.documents(spark, sf_dir)
-    return q.where(F.startswith("s", F.lit(EX + "set/")))
-
-
 def _round_trip(spark, sf_dir):
     d = lift.table(spark, sf_dir, "documents")
     null = F.lit(None).cast("string")
