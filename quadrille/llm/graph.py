@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.shared import Scratch
 
+EDGES_A_FILE = 50_000
+
 
 def _star(edges: DataFrame, both: bool) -> DataFrame:
     """edges: (hi, lo), hi > lo. Each vertex's neighbours (smaller ones only, unless both) go to its least one."""
@@ -27,13 +29,18 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     return out.where("hi > lo").distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60) -> DataFrame:
-    """(id, component) of every vertex with an edge; component: the least id reachable. Loops and repeated edges are harmless."""
-    now = scratch.save(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").distinct(), f"{name}-0")
-    state = None
+def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60, limit: int | None = None) -> DataFrame:
+    """(id, component) of every vertex with an edge; component: the least id reachable. Loops and repeated edges are harmless.
+
+    limit: a bound of the number of edges, where one is known. Without edges there are no rows.
+    """
+    now = scratch.save(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").distinct(), f"{name}-0", limit)
+    state, n = None, now.count()
     for i in range(1, rounds + 1):
-        step = scratch.save(_star(_star(now, True), False), f"{name}-{i}")
+        # neither star makes more edges than it reads and vertices there are
+        step = scratch.save(_star(_star(now, True), False), f"{name}-{i}", 4 * n, EDGES_A_FILE)
         seen = step.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        n = seen[0]
         scratch.drop(f"{name}-{i - 1}")
         now = step
         if seen == state:

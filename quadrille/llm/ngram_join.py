@@ -190,8 +190,9 @@ def _bound_allows(x: np.ndarray, y: np.ndarray, total: np.ndarray, percent: int)
 
 
 def _links(pairs: DataFrame, profiles: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Of the pairs (a, b), those that link: overlaps counted by fragment and summed per pair."""
+    """Of the pairs (a, b), those that link. Each fragment of two sets meets apart and is counted apart; the counts are summed per pair."""
     small = profiles.select("node", "n", "sketch")
+    n_pairs = pairs.count()
     held = pairs.join(small.toDF("a", "na", "sa"), "a").join(small.toDF("b", "nb", "sb"), "b")
 
     def sift():
@@ -206,28 +207,25 @@ def _links(pairs: DataFrame, profiles: DataFrame, percent: int, scratch: Scratch
 
         return step
 
-    left = scratch.save(arrow_map(held.select("a", "b", "na", "nb", "sa", "sb"), sift, "a long, b long, na long, nb long"), f"{name}-sifted")
-    parts = profiles.select("node", "parts")
-    both = left.join(parts.toDF("a", "pa"), "a").join(parts.toDF("b", "pb"), "b")
+    left = scratch.save(arrow_map(held.select("a", "b", "na", "nb", "sa", "sb"), sift, "a long, b long, na long, nb long"), f"{name}-sifted", n_pairs)
+    n_left = left.count()
+    parts = profiles.select("node", F.posexplode("parts").alias("fragment", "part")).where(F.octet_length("part") > 0)
+    cut = left.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("fragment"))
+    both = cut.join(parts.toDF("a", "fragment", "pa"), ["a", "fragment"]).join(parts.toDF("b", "fragment", "pb"), ["b", "fragment"])
 
     def count():
         def step(b):
-            a, z, f, common = [], [], [], []
-            for x, y, p, q in zip(*(b.column(c).to_pylist() for c in ("a", "b", "pa", "pb")), strict=True):
-                for i, (s, t) in enumerate(zip(p, q, strict=True)):
-                    a.append(x)
-                    z.append(y)
-                    f.append(i)
-                    common.append(len(np.intersect1d(np.frombuffer(s, U), np.frombuffer(t, U), assume_unique=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64()), pa.array(f, pa.int32()), pa.array(common, pa.int64())], ["a", "b", "fragment", "common"])
+            for i in range(0, b.num_rows, 1000):
+                some = b.slice(i, 1000)
+                common = [len(np.intersect1d(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U), assume_unique=True)) for x, y in zip(some.column("pa"), some.column("pb"), strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b"), pa.array(common, pa.int64())], ["a", "b", "common"])
 
         return step
 
-    overlap = arrow_map(both.select("a", "b", "pa", "pb"), count, "a long, b long, fragment int, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
+    overlap = arrow_map(both.select("a", "b", "pa", "pb"), count, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
     linked = left.join(overlap, ["a", "b"]).where((100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb")))
-    out = scratch.save(linked.select("a", "b", "common"), f"{name}-links")
-    del held, both, overlap, linked
-    scratch.release()
+    out = scratch.save(linked.select("a", "b", "common"), f"{name}-links", n_left)
+    scratch.drop(f"{name}-sifted")
     return out
 
 
@@ -300,9 +298,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scr
     scratch = scratch or Scratch(spark, "ngram-join")
     docs = text_slices(docs)
     by_doc = scratch.save(_nodes(docs, k, seed), "nodes")
+    n_docs = by_doc.count()
     reps = by_doc.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("extra").alias("e0"), F.max("extra").alias("e1"))
-    reps = scratch.save(reps, "reps")
-    if not reps.where("e0 <> e1").isEmpty():
+    reps = scratch.save(reps, "reps", n_docs)
+    n, clash = reps.agg(F.count("*"), F.max(F.col("e0") != F.col("e1"))).first()  # n bounds what has a row a node below
+    if clash:
         return jaccard_classes(docs, k, percent, Scratch(spark, "ngram-join"), seed + 1)
 
     sigs = _signatures(docs, k, percent, seed)
@@ -318,32 +318,30 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scr
     often = Window.partitionBy("node", "rule").orderBy(F.desc("size"), F.desc("sig"))
     met = met.withColumn("rank", F.row_number().over(often)).where(F.col("rank") >= F.col("rule").bitwiseAND((1 << 40) - 1))
     # a node whose fragments are widely shared stands in the middle of its group: it leads its blocks
-    weighed = scratch.save(met.select("sig", "node", F.sum("size").over(Window.partitionBy("node")).alias("weight")), "weighed")
+    weighed = scratch.save(met.select("sig", "node", F.sum("size").over(Window.partitionBy("node")).alias("weight")), "weighed", members.count(), 20_000)
     del members, met
     scratch.drop("members")
-    scratch.release()
+    n_met = weighed.count()
     wanted = weighed.select("node").distinct().join(reps.select("node", F.col("rep").alias("doc_id")), "node")
-    profiles = scratch.save(_profiles(docs.join(wanted, "doc_id").select("node", "text").dropDuplicates(["node"]), k), "profiles")
-    scratch.release()
+    profiles = scratch.save(_profiles(docs.join(wanted, "doc_id").select("node", "text").dropDuplicates(["node"]), k), "profiles", n, 2000)
     leaders = weighed.groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("top")).select("sig", F.col("top.node").alias("leader"))
-    tried = scratch.save(_star_pairs(weighed.join(leaders, "sig").select("node", "leader")), "stars-0")
+    tried = scratch.save(_star_pairs(weighed.join(leaders, "sig").select("node", "leader")), "stars-0", n)
     links = _links(tried, profiles, percent, scratch, "stars-0")
-    comp = components(links, scratch, "near-0")
-    split = scratch.save(_split_blocks(weighed.select("sig", "node"), comp), "split-0")
+    comp = components(links, scratch, "near-0", limit=n)
+    split = scratch.save(_split_blocks(weighed.select("sig", "node"), comp), "split-0", n_met, 20_000)
     scratch.drop("weighed")
     for i in range(1, STARS):
-        more = scratch.save(_cross_stars(split, i).join(tried, ["a", "b"], "left_anti"), f"stars-{i}")
+        more = scratch.save(_cross_stars(split, i).join(tried, ["a", "b"], "left_anti"), f"stars-{i}", n)
         tried = tried.unionByName(more)
         links = links.unionByName(_links(more, profiles, percent, scratch, f"stars-{i}"))
-        comp = components(links.select("a", "b"), scratch, f"near-{i}")
-        split = scratch.save(_split_blocks(split.select("sig", "node"), comp), f"split-{i}")
+        comp = components(links.select("a", "b"), scratch, f"near-{i}", limit=(i + 1) * n)
+        split = scratch.save(_split_blocks(split.select("sig", "node"), comp), f"split-{i}", n_met, 20_000)
         scratch.drop(f"split-{i - 1}")
-    scratch.release()
     rest = scratch.save(_tiles(split, profiles, percent, scratch).join(tried, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(_links(rest, profiles, percent, scratch, "rest"))
 
     reach = components(links, scratch, "all").toDF("node", "comp")
-    named = scratch.save(reps.select("node", "rep").join(reach, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named")
+    named = scratch.save(reps.select("node", "rep").join(reach, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named", n)
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     node_class = named.join(least, "comp").select("node", "component_id")
     out = by_doc.where("node IS NOT NULL").join(node_class, "node").select("doc_id", F.col("n").alias("n_shingles"), "node", "component_id")

@@ -26,6 +26,10 @@ def shared_root(spark: SparkSession) -> str:
     return (root or _own_root()).rstrip("/")
 
 
+#: Every file costs a writer, a listing entry and, on some file systems, processes for its permissions.
+ROWS_A_FILE = 5000
+
+
 class Scratch:
     """Intermediate tables of one run. A table in the shared folder cuts lineage and outlives executors."""
 
@@ -35,7 +39,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None, per_file: int = ROWS_A_FILE) -> DataFrame:
+        """rows: a bound of how many there are, where one is known; a small table then takes few tasks and files."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // per_file)))
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
