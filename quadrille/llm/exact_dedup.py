@@ -1,15 +1,15 @@
 """Exact duplicates by a stream whose keyed state lives on disk.
 
-Texts are equal when they are equal without the characters [\\x20\\x09-\\x0D]. Each document's digest, id,
-length and locator stream into RocksDB state keyed by digest. The state has no watermark and never expires; it
-holds the number of documents, the least doc_id among the longest originals, and the least doc_id of all, which
-locates the content that later hits are held against. Partial sums before the shuffle bring a digest's copies
-down to one row a task, however many there are. On every hit the full normalised bytes are then compared with
-those of the kept document; should a digest ever stand for two texts, its documents are grouped anew by their
-bytes.
-
-Null text counts as empty, and empty texts are equal. Rows repeating a doc_id are counted each and share its
-verdict. Extra columns are ignored; an empty table gives no rows.
+Texts are equal when they are equal without the characters [\\x20\\x09-\\x0D]. Each document's digest, id and length
+stream into RocksDB state keyed by digest. The state has no watermark and never expires; it holds the number of
+documents, the stable identifier (the least doc_id among the longest originals) and the locator of the content that
+hits are held against (the least doc_id of all). Partial sums before the shuffle bring a digest's copies down to one
+row a task, however many there are. On every hit the full normalised bytes are then compared with those at the
+locator; should a digest ever stand for two texts, its documents are grouped anew by their bytes.
+
+Null text counts as empty, and empty texts are equal. A null doc_id counts as larger than any other. Rows repeating a
+doc_id are counted each; those with equal texts share a verdict, and ``drop_exact`` keeps one of them (the longest
+original, then the least by the other columns' hash). Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,9 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.shared import Scratch
+from quadrille.llm.shared import ROWS_A_FILE, Scratch
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FILES = "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"
+KEYS_A_FILE = 20_000
+NO_ID = (1 << 63) - 1
 
 
 def normalised(text: Column) -> Column:
@@ -36,11 +39,13 @@ def _best(*more: Column) -> list[Column]:
 
 
 def stream_state(keys: DataFrame, scratch: Scratch, files_per_batch: int = 64) -> DataFrame:
-    """Run the stored table ``keys`` (digest, doc_id, n_points) through keyed state; returns the state: (digest, n, keep_id)."""
+    """Run the stored table ``keys`` (digest, doc_id, n_points) through keyed state; returns the state: (digest, n, keep_id, locator)."""
     spark, source, out = keys.sparkSession, scratch.path("keys"), scratch.path("state")
-    # one memory bound for all stores of an executor; no preallocated log files, of which many small stores would hold gigabytes
-    rocks = "spark.sql.streaming.stateStore.rocksdb."
-    conf = {"spark.sql.streaming.stateStore.providerClass": ROCKS, rocks + "boundedMemoryUsage": "true", rocks + "maxMemoryUsageMB": "200", rocks + "allowFAllocate": "false"}
+    # one memory bound for all stores of an executor, each closed after its task; no preallocated log files, of which
+    # many small stores would hold gigabytes; a checkpoint that any Hadoop file system can hold
+    streaming = "spark.sql.streaming."
+    rocks = streaming + "stateStore.rocksdb."
+    conf = {streaming + "stateStore.providerClass": ROCKS, rocks + "boundedMemoryUsage": "true", rocks + "maxMemoryUsageMB": "200", rocks + "allowFAllocate": "false", rocks + "changelogCheckpointing.enabled": "true", streaming + "stateStore.unloadOnCommit": "true", streaming + "checkpointFileManagerClass": FILES}
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
@@ -60,44 +65,68 @@ def stream_state(keys: DataFrame, scratch: Scratch, files_per_batch: int = 64) -
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = "digest string, n long, best struct<n_points:int,minus_id:bigint>, locator long"
+    said = ("digest", "n", "-best.minus_id AS keep_id", "locator")
     if not batches:
-        return spark.createDataFrame([], schema).selectExpr("digest", "n", "-best.minus_id AS keep_id")
+        return spark.createDataFrame([], schema).selectExpr(*said)
     # a digest's row of the latest batch is its state
     rows = spark.read.schema(f"{schema}, batch int").parquet(*[f"{out}/batch={i:06d}" for i in range(batches)])
-    last = rows.groupBy("digest").agg(F.max("n").alias("n"), F.max("best").alias("best"), F.min("locator").alias("locator")) if batches > 1 else rows
-    return last.selectExpr("digest", "n", "-best.minus_id AS keep_id")
+    if batches == 1:
+        return rows.selectExpr(*said)
+    last = rows.groupBy("digest").agg(F.max("n").alias("n"), F.max("best").alias("best"), F.min("locator").alias("locator"))
+    return scratch.save(last.selectExpr(*said), "groups")
 
 
-def exact_groups(docs: DataFrame, digest=sha256_of, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, digest) of every document. ``digest`` maps normalised text to a string."""
-    scratch = scratch or Scratch(docs.sparkSession, "exact-dedup")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def _groups(docs: DataFrame, digest, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, digest, n, keep_id) of every document, NO_ID for null; the stored keys and their number. Digests of a clash are drawn out by the text."""
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     body = texts.select("doc_id", normalised(F.col("text")).alias("norm"), F.char_length("text").alias("n_points"))
     keys = scratch.save(body.select(digest(F.col("norm")).alias("digest"), "doc_id", "n_points"), "keys")
-    state = scratch.save(stream_state(keys, scratch), "groups")
-    multi = state.where("n > 1").select("digest", "keep_id")
-    hits = scratch.save(keys.join(multi, "digest").select("doc_id", "digest", "keep_id").distinct(), "hits")
+    rows = keys.count()
+    state = stream_state(keys, scratch)
+    multi = state.where("n > 1").select("digest", "keep_id", "locator")
+    # merge joins: a digest with a large share of all rows is split by adaptive execution
+    hits = scratch.save(keys.join(multi.hint("merge"), "digest").select("doc_id", "digest").distinct(), "hits", rows, KEYS_A_FILE)
     norms = body.select("doc_id", "norm")
-    # full bytes of each hit against those of the document that its digest keeps
-    kept_bytes = norms.join(multi.withColumnRenamed("keep_id", "doc_id"), "doc_id").select("digest", F.col("norm").alias("kept_norm"))
-    seen = hits.where("doc_id <> keep_id").join(norms, "doc_id").join(kept_bytes, "digest")
-    clash = scratch.save(seen.where("norm <> kept_norm").select("digest").distinct(), "clash")
+    # full bytes of each hit against those at its digest's locator
+    located = norms.join(multi.select("digest", F.col("locator").alias("doc_id")), "doc_id").where(digest(F.col("norm")) == F.col("digest"))
+    located = located.select("digest", F.col("norm").alias("kept_norm")).dropDuplicates(["digest"])
+    seen = hits.join(norms, "doc_id").where(digest(F.col("norm")) == F.col("digest")).join(located.hint("merge"), "digest")
+    clash = scratch.save(seen.where("norm <> kept_norm").select("digest").distinct(), "clash", rows, KEYS_A_FILE)
+    placed = keys.join(state.select("digest", "n", "keep_id").hint("merge"), "digest").select("doc_id", "digest", "n", "keep_id")
     if clash.isEmpty():
-        out = keys.join(state, "digest")
-    else:
-        again = keys.join(clash, "digest", "left_semi").select("doc_id", "digest").distinct().join(body, "doc_id").withColumn("digest", F.concat("digest", F.lit(":"), "norm"))
-        again = scratch.save(again.select("doc_id", "digest", "n_points"), "again")
-        regrouped = again.groupBy("digest").agg(*_best()).selectExpr("digest", "n", "-best.minus_id AS keep_id")
-        fine = keys.join(clash, "digest", "left_anti").join(state, "digest").select("digest", "doc_id", "n", "keep_id")
-        out = fine.unionByName(again.join(regrouped, "digest").select("digest", "doc_id", "n", "keep_id"))
-    return out.select("doc_id", "keep_id", F.col("n").cast("long").alias("group_size"), (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.substring_index("digest", ":", 1).alias("digest"))
+        return placed, keys, rows
+    again = body.withColumn("digest", digest(F.col("norm"))).join(clash, "digest", "left_semi").withColumn("digest", F.concat("digest", F.lit(":"), "norm"))
+    again = scratch.save(again.select("doc_id", "digest", "n_points"), "again")
+    regrouped = again.groupBy("digest").agg(*_best()).selectExpr("digest", "n", "-best.minus_id AS keep_id")
+    return placed.join(clash, "digest", "left_anti").unionByName(again.join(regrouped, "digest").select("doc_id", "digest", "n", "keep_id")), keys, rows
+
+
+def exact_groups(docs: DataFrame, digest=sha256_of, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, digest) of every document. ``digest`` maps normalised text to a string."""
+    out, _, _ = _groups(docs, digest, scratch or Scratch(docs.sparkSession, "exact-dedup"))
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
+    return out.select(known("doc_id"), known("keep_id"), F.col("n").cast("long").alias("group_size"), (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.substring_index("digest", ":", 1).alias("digest"))
 
 
 def exact_report(docs: DataFrame) -> DataFrame:
     return exact_groups(docs).withColumnRenamed("digest", "text_sha256")
 
 
-def drop_exact(docs: DataFrame) -> DataFrame:
-    """docs without the documents that another one stands for."""
-    gone = exact_groups(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def drop_exact(docs: DataFrame, digest=sha256_of) -> DataFrame:
+    """docs without the rows that another one stands for. Rows are told by doc_id and text, so that one doc_id may have several texts."""
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    groups, keys, rows = _groups(docs, digest, scratch)
+    gone = scratch.save(groups.where("doc_id <> keep_id").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "gone", rows, KEYS_A_FILE)
+    repeated = scratch.save(keys.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "repeated", rows, KEYS_A_FILE)
+    clashed = F.instr("_digest", ":") > 0
+    norm = normalised(F.col("text"))
+    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_digest", digest(norm))
+    on = ["_id", "_digest"]
+    out = named.join(gone.where(~clashed), on, "left_anti")
+    if not gone.where(clashed).isEmpty():
+        out = out.withColumn("_text", F.concat("_digest", F.lit(":"), norm)).join(gone.where(clashed).withColumnRenamed("_digest", "_text"), ["_id", "_text"], "left_anti")
+    if not repeated.isEmpty():
+        order = F.struct(F.char_length(F.coalesce("text", F.lit(""))), F.xxhash64(*docs.columns))
+        one = out.join(repeated, on, "left_semi").groupBy(*on, norm.alias("_norm")).agg(F.max_by(F.struct(*docs.columns), order).alias("_row"))
+        out = out.join(repeated, on, "left_anti").select(docs.columns).unionByName(one.select("_row.*"))
+    return out.select(docs.columns).coalesce(max(1, -(-rows // ROWS_A_FILE)))

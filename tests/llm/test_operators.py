@@ -452,3 +452,15 @@ def test_encoder_equals_library():
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         e = Encoder(public_path(name))
         assert e.encode(xs) == e._library(xs)
+
+
+def test_exact_drops_rows_not_ids(spark):
+    rows = [(1, "same text"), (5, "same text"), (5, "unique text"), (7, "rep"), (7, "rep"), (7, "r ep"), (None, "no id"), (None, "no id"), (None, "rep"), (9, None), (8, " ")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string")
+    want = [(1, "same text"), (5, "unique text"), (7, "r ep"), (8, " "), (None, "no id")]
+    for digest in (exact_dedup.sha256_of, lambda c: exact_dedup.F.substring(exact_dedup.sha256_of(c), 1, 1)):
+        out = exact_dedup.drop_exact(df, digest)
+        assert out.columns == df.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
+    by = {(r["doc_id"], r["digest"]): r for r in exact_dedup.exact_groups(df).collect()}
+    assert len(by) == 8 and all(r["keep_id"] == 7 and r["group_size"] == 4 for k, r in by.items() if k[1] == hashlib.sha256(b"rep").hexdigest())
