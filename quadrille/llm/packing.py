@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.shared import Scratch, arrow_map, text_slices
+from quadrille.llm.shared import ROWS_A_FILE, Scratch, arrow_map, text_slices
 from quadrille.llm.tokens import encoder, public_path
 
-SALTS = 64
+LEAST_SALTS, ROWS_A_SALT, PIECES_A_FILE = 64, 100_000, 20_000
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
@@ -165,7 +165,7 @@ def assign(lengths: DataFrame, window: int, step: int, salts: int) -> DataFrame:
     return whole.unionByName(packed).unionByName(cut)
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, window: int = 4096, step: int = 16, salts: int = SALTS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, window: int = 4096, step: int = 16, salts: int | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded[, ids]).
 
     padded: what the piece's sequence is padded to: its own length if that is a power of two, else the window.
@@ -174,13 +174,16 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, window
         raise ValueError("step must divide the window")
     scratch = Scratch(docs.sparkSession, "packing")
     stored = scratch.save(_encoded(docs, vocabulary or public_path("word_bpe_49k.json"), end_id), "ids")
-    lengths = scratch.save(stored.select("row", "n"), "lengths")
-    pieces = scratch.save(assign(lengths, window, step, salts), "pieces")
+    lengths = stored.select("row", "n")  # two columns of the stored table
+    rows, windows = lengths.agg(F.count("*"), F.coalesce(F.sum(F.floor(F.col("n") / window)), F.lit(0))).first()
+    salts = salts or max(LEAST_SALTS, -(-rows // ROWS_A_SALT))
+    # a document has its full windows and a rest, which at most one more window cuts
+    pieces = scratch.save(assign(lengths, window, step, salts), "pieces", windows + 2 * rows, PIECES_A_FILE)
     filled = pieces.groupBy("sequence_id").agg(F.sum("length").alias("filled"))
     padded = F.when(F.col("filled").bitwiseAND(F.col("filled") - 1) == 0, F.col("filled")).otherwise(F.lit(window))
-    rows = pieces.join(filled.select("sequence_id", padded.cast("long").alias("padded")), "sequence_id")
-    per_row = rows.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset", "padded")).alias("pieces"))
-    joined = stored.join(per_row, "row").select("doc_id", "n", "ids", "pieces")
+    placed = pieces.join(filled.select("sequence_id", padded.cast("long").alias("padded")), "sequence_id")
+    per_row = placed.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset", "padded")).alias("pieces"))
+    joined = stored.join(per_row, "row").select("doc_id", "n", "ids", "pieces").coalesce(max(1, -(-rows // ROWS_A_FILE)))
 
     def make():
         def step(b):
