@@ -17,12 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.shared import ROWS_A_FILE, Scratch
+from quadrille.llm.shared import NO_ID, ROWS_A_FILE, Scratch
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FILES = "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"
 KEYS_A_FILE = 20_000
-NO_ID = (1 << 63) - 1
 
 
 def normalised(text: Column) -> Column:

@@ -20,24 +20,36 @@ Fragments may be empty; sizes leave room for SLACK of them, and the few sets wit
 fragments. Hashes have 64 bits; if two different sets get one node hash, all is done again with another seed.
 
 Null and empty texts have the empty set and link with nothing; fewer words than k make one shingle of the whole
-sequence. Rows repeating a doc_id are equal or take the least node of it; extra columns are ignored.
+sequence. Rows are told by doc_id and text: a doc_id that repeats with another text has a row for each, with a class
+of its own. A null doc_id counts as larger than any other. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.graph import components
-from quadrille.llm.shared import Scratch, arrow_map, doc_ranges, string_buffer, text_slices
+from quadrille.llm.shared import NO_ID, Scratch, arrow_map, doc_ranges, string_buffer
 from quadrille.llm.words import NOT_SPACE, PIECE, U, mix, shingle_sets, words_by_text
 
 SEGMENTS, TILE, STARS = 8, 2048, 4
 LEAST_BITS, BRIEF_BITS, MOST_BITS = 64, 2048, 8192
 
 
+def key_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key), whatever other columns there are."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key_of(F.col("text")).alias("key"))
+
+
 class Cut:
     """Size classes and numbers of fragments for links at 100 * intersection >= percent * union."""
 
@@ -136,11 +148,11 @@ def _nodes(docs: DataFrame, k: int, seed: int) -> DataFrame:
         def step(b):
             for i, sets in _sets(b, 1, k):
                 pairs = [node_of(s, seed) if len(s) else (None, None) for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["doc_id", "n", "node", "extra"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(sets)), b.column(2).slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["doc_id", "key", "n", "node", "extra"])
 
         return step
 
-    return arrow_map(docs, make, "doc_id long, n long, node long, extra long")
+    return arrow_map(docs, make, "doc_id long, key long, n long, node long, extra long")
 
 
 def _signatures(docs: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
@@ -189,10 +201,11 @@ def _bound_allows(x: np.ndarray, y: np.ndarray, total: np.ndarray, percent: int)
     return (100 + percent) * np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= (100 - percent) * total
 
 
-def _links(pairs: DataFrame, profiles: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Of the pairs (a, b), those that link. Each fragment of two sets meets apart and is counted apart; the counts are summed per pair."""
+def _links(pairs: DataFrame, profiles: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame | None:
+    """Of the pairs (a, b), those that link, or None without any. Each fragment of two sets meets apart and is counted apart; the counts are summed per pair."""
     small = profiles.select("node", "n", "sketch")
-    n_pairs = pairs.count()
+    if not (n_pairs := pairs.count()):
+        return None
     held = pairs.join(small.toDF("a", "na", "sa"), "a").join(small.toDF("b", "nb", "sb"), "b")
 
     def sift():
@@ -208,7 +221,8 @@ def _links(pairs: DataFrame, profiles: DataFrame, percent: int, scratch: Scratch
         return step
 
     left = scratch.save(arrow_map(held.select("a", "b", "na", "nb", "sa", "sb"), sift, "a long, b long, na long, nb long"), f"{name}-sifted", n_pairs)
-    n_left = left.count()
+    if not (n_left := left.count()):
+        return None
     parts = profiles.select("node", F.posexplode("parts").alias("fragment", "part")).where(F.octet_length("part") > 0)
     cut = left.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("fragment"))
     both = cut.join(parts.toDF("a", "fragment", "pa"), ["a", "fragment"]).join(parts.toDF("b", "fragment", "pb"), ["b", "fragment"])
@@ -226,7 +240,9 @@ def _links(pairs: DataFrame, profiles: DataFrame, percent: int, scratch: Scratch
     linked = left.join(overlap, ["a", "b"]).where((100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb")))
     out = scratch.save(linked.select("a", "b", "common"), f"{name}-links", n_left)
     scratch.drop(f"{name}-sifted")
-    return out
+    del held, cut, both, overlap, linked
+    scratch.release()
+    return None if out.isEmpty() else out
 
 
 def _star_pairs(rows: DataFrame) -> DataFrame:
@@ -236,6 +252,19 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
     return best.select(F.least("node", "top.leader").alias("a"), F.greatest("node", "top.leader").alias("b")).distinct()
 
 
+def _merge(comp: DataFrame | None, links: DataFrame, scratch: Scratch, name: str, n: int) -> DataFrame:
+    """comp (node, comp) after more links: components of components, so that a later round's edges are few. n: number of nodes."""
+    ends = links.select("a", "b")
+    if comp is not None:
+        ends = ends.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    reach = components(ends, scratch, name, limit=n)
+    now = reach.toDF("node", "comp")
+    if comp is not None:
+        moved = comp.join(reach.toDF("comp", "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        now = moved.unionByName(now.join(comp.select("node"), "node", "left_anti"))
+    return scratch.save(now, f"{name}-placed", n)
+
+
 def _split_blocks(members: DataFrame, comp: DataFrame) -> DataFrame:
     """(sig, node, comp) of the blocks that hold nodes of several components."""
     placed = members.join(comp.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -290,29 +319,30 @@ def _tiles(members: DataFrame, profiles: DataFrame, percent: int, scratch: Scrat
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Two tables: (doc_id, n_shingles, node, component_id) of every document, and links (a, b, common) between nodes.
+    """Two tables: (doc_id, key, n_shingles, node, component_id, first) of every row, and links (a, b, common) between nodes.
 
+    doc_id and component_id are NO_ID for null; key tells texts under one doc_id; first: whether the row stands for its class.
     The links are those that were counted; together they connect whatever all links connect.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "ngram-join")
-    docs = text_slices(docs)
+    given, docs = docs, keyed(docs)
     by_doc = scratch.save(_nodes(docs, k, seed), "nodes")
     n_docs = by_doc.count()
-    reps = by_doc.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("extra").alias("e0"), F.max("extra").alias("e1"))
+    reps = by_doc.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.min("extra").alias("e0"), F.max("extra").alias("e1"))
     reps = scratch.save(reps, "reps", n_docs)
     n, clash = reps.agg(F.count("*"), F.max(F.col("e0") != F.col("e1"))).first()  # n bounds what has a row a node below
     if clash:
-        return jaccard_classes(docs, k, percent, Scratch(spark, "ngram-join"), seed + 1)
+        return jaccard_classes(given, k, percent, Scratch(spark, "ngram-join"), seed + 1)
 
     sigs = _signatures(docs, k, percent, seed)
     shared = sigs.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("sig", "size")
     shared = scratch.save(shared, "shared")
-    scratch.release()  # before the signatures are shuffled once more
+    scratch.release(0.3)  # before the signatures are shuffled once more
     members = scratch.save(sigs.join(shared, "sig").select("sig", "node", "rule", "size").distinct(), "members")
     del sigs, shared
     scratch.drop("shared")
-    scratch.release()
+    scratch.release(0.3)
     # of a node's fragments in one class, the `need` - 1 most shared are left out
     met = members.repartition("node")
     often = Window.partitionBy("node", "rule").orderBy(F.desc("size"), F.desc("sig"))
@@ -322,38 +352,52 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scr
     del members, met
     scratch.drop("members")
     n_met = weighed.count()
-    wanted = weighed.select("node").distinct().join(reps.select("node", F.col("rep").alias("doc_id")), "node")
-    profiles = scratch.save(_profiles(docs.join(wanted, "doc_id").select("node", "text").dropDuplicates(["node"]), k), "profiles", n, 2000)
+    wanted = weighed.select("node").distinct().join(reps.select("node", "rep.*"), "node")
+    profiles = scratch.save(_profiles(docs.join(wanted, ["doc_id", "key"]).select("node", "text").dropDuplicates(["node"]), k), "profiles", n, 2000)
     leaders = weighed.groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("top")).select("sig", F.col("top.node").alias("leader"))
     tried = scratch.save(_star_pairs(weighed.join(leaders, "sig").select("node", "leader")), "stars-0", n)
-    links = _links(tried, profiles, percent, scratch, "stars-0")
-    comp = components(links, scratch, "near-0", limit=n)
-    split = scratch.save(_split_blocks(weighed.select("sig", "node"), comp), "split-0", n_met, 20_000)
+    found = [_links(tried, profiles, percent, scratch, "stars-0")]
+    comp = _merge(None, found[0], scratch, "near-0", n) if found[0] else None
+    alone = reps.select("node", F.col("node").alias("comp")).limit(0)
+    split = scratch.save(_split_blocks(weighed.select("sig", "node"), comp or alone), "split-0", n_met, 20_000)
     scratch.drop("weighed")
     for i in range(1, STARS):
+        if split.isEmpty():
+            break
         more = scratch.save(_cross_stars(split, i).join(tried, ["a", "b"], "left_anti"), f"stars-{i}", n)
         tried = tried.unionByName(more)
-        links = links.unionByName(_links(more, profiles, percent, scratch, f"stars-{i}"))
-        comp = components(links.select("a", "b"), scratch, f"near-{i}", limit=(i + 1) * n)
-        split = scratch.save(_split_blocks(split.select("sig", "node"), comp), f"split-{i}", n_met, 20_000)
-        scratch.drop(f"split-{i - 1}")
-    rest = scratch.save(_tiles(split, profiles, percent, scratch).join(tried, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(_links(rest, profiles, percent, scratch, "rest"))
-
-    reach = components(links, scratch, "all").toDF("node", "comp")
-    named = scratch.save(reps.select("node", "rep").join(reach, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named", n)
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    node_class = named.join(least, "comp").select("node", "component_id")
-    out = by_doc.where("node IS NOT NULL").join(node_class, "node").select("doc_id", F.col("n").alias("n_shingles"), "node", "component_id")
-    alone = by_doc.where("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "node", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone), links
+        if links := _links(more, profiles, percent, scratch, f"stars-{i}"):
+            found.append(links)
+            comp = _merge(comp, links, scratch, f"near-{i}", n)
+            split = scratch.save(_split_blocks(split.select("sig", "node"), comp), f"split-{i}", n_met, 20_000)
+    if not split.isEmpty():
+        rest = scratch.save(_tiles(split, profiles, percent, scratch).join(tried, ["a", "b"], "left_anti"), "rest")
+        if links := _links(rest, profiles, percent, scratch, "rest"):
+            found.append(links)
+            comp = _merge(comp, links, scratch, "all", n)
+    found = [x for x in found if x]
+    links = functools.reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "a long, b long, common long")
+    named = scratch.save(reps.select("node", "rep").join(comp or alone, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named", n)
+    least = named.groupBy("comp").agg(F.min("rep").alias("least"))
+    node_class = named.join(least, "comp").select("node", "least")
+    first = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("key") == F.col("least.key"))
+    out = by_doc.where("node IS NOT NULL").join(node_class, "node").select("doc_id", "key", F.col("n").alias("n_shingles"), "node", F.col("least.doc_id").alias("component_id"), first.alias("first"))
+    empty = by_doc.where("node IS NULL").select("doc_id", "key", F.col("n").alias("n_shingles"), "node", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    return out.unionByName(empty), links
 
 
 def jaccard_report(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    return jaccard_classes(docs, k, percent)[0].select("doc_id", "n_shingles", "component_id")
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
+    return jaccard_classes(docs, k, percent)[0].select(known("doc_id"), "n_shingles", known("component_id"))
 
 
 def drop_near(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with the least doc_id of each near-duplicate class only."""
-    gone = jaccard_classes(docs, k, percent)[0].where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """docs with one document of each near-duplicate class: that of the least doc_id, and of several texts under it the one of the least key.
+
+    Rows equal in doc_id and text stay or go together.
+    """
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    classes = jaccard_classes(docs, k, percent, scratch)[0]
+    gone = scratch.save(classes.where("NOT first").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "gone")
+    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_key", key_of(F.col("text")))
+    return named.join(gone, ["_id", "_key"], "left_anti").select(docs.columns)

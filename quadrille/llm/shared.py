@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import gc
+import shutil
 import tempfile
 import time
 import uuid
@@ -17,18 +19,25 @@ from pyspark.sql import functions as F
 
 @functools.cache
 def _own_root() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="quadrille-")
+    root = tempfile.mkdtemp(prefix="quadrille-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return "file://" + root
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one of our own, but only if all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (root or _own_root()).rstrip("/")
 
 
 #: Every file costs a writer, a listing entry and, on some file systems, processes for its permissions.
 ROWS_A_FILE = 5000
 
+#: Stands for a null doc_id, after all others.
+NO_ID = (1 << 63) - 1
+
 
 class Scratch:
     """Intermediate tables of one run. A table in the shared folder cuts lineage and outlives executors."""
@@ -46,12 +55,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def release(self) -> None:
-        """Have shuffle files deleted that no plan refers to any more; Spark's cleaner only sees them after a collection."""
-        for _ in range(2):  # the first collection queues what the second one finds unreachable
+    def release(self, wait: float = 0.0) -> None:
+        """Let go of what no plan refers to any more: generated classes, broadcasts and shuffle files, which Spark's cleaner only sees after a collection. wait: for it to finish."""
+        for _ in range(2 if wait else 1):  # the first collection queues what the second one finds unreachable
             gc.collect()
             self.spark._jvm.System.gc()
-            time.sleep(0.3)
+            time.sleep(wait)
 
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

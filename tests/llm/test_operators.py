@@ -464,3 +464,15 @@ def test_exact_drops_rows_not_ids(spark):
         assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
     by = {(r["doc_id"], r["digest"]): r for r in exact_dedup.exact_groups(df).collect()}
     assert len(by) == 8 and all(r["keep_id"] == 7 and r["group_size"] == 4 for k, r in by.items() if k[1] == hashlib.sha256(b"rep").hexdigest())
+
+
+def test_near_drops_rows_not_ids(spark):
+    base = [f"w{x}" for x in range(60)]
+    near = " ".join([*base[:59], "other"])
+    rows = [(3, " ".join(base)), (5, near), (5, "a text of its own that shares nothing"), (6, None), (None, near), (None, "alone again"), (7, "one two"), (7, "one TWO")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, first int")
+    out = ngram_join.drop_near(df)
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert out.columns == df.columns and len(got) == 5
+    assert {(3, " ".join(base)), (5, "a text of its own that shares nothing"), (6, None), (None, "alone again")} <= set(got) and sum(i == 7 for i, _ in got) == 1
+    assert ngram_join.drop_near(df.where("doc_id > 99")).count() == 0
