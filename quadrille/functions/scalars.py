@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +24,8 @@ def normalize_date(c: Column, exif: bool = False) -> Column:
     number = t.rlike(r"^[+]?[0-9]+(\.[0-9]*)?([eE][+-]?[0-9]+)?$")
     epoch = number & (t.rlike("[eE]") | (F.length(F.replace(t, F.lit("."), F.lit(""))) >= 10))
     seconds = t.try_cast("double")
-    as_day = F.when(seconds.between(0, 4102444800), F.date_format(F.timestamp_seconds(F.floor(seconds)), "yyyy-MM-dd"))
+    days = F.floor(F.when(seconds.between(0, 4102444800), seconds) / 86400).cast("int")
+    as_day = F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string")  # of UTC, whatever the session's zone
     part = lambda i, n: F.lpad(F.regexp_extract(t, r"^([0-9]+)[-/.]([0-9]+)[-/.]([0-9]+)", i), n, "0")
     ymd, dmy = F.concat_ws("-", part(1, 4), part(2, 2), part(3, 2)), F.concat_ws("-", part(3, 4), part(2, 2), part(1, 2))
     out = (
@@ -46,12 +50,27 @@ def clean_mime(c: Column) -> Column:
     return F.when(ok, m)
 
 
+@functools.cache
+def _folds() -> tuple[str, str, str]:
+    """Characters whose decomposition is one character and combining marks, that character, and the combining marks."""
+    pairs, marks = [], []
+    for x in range(0xA0, 0x3000):
+        c = chr(x)
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+        base = [d for d in unicodedata.normalize("NFD", c) if unicodedata.category(d) != "Mn"]
+        if len(base) == 1 and base[0] != c:
+            pairs.append((c, base[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs), "".join(marks)
+
+
 def title_key(c: Column, most: int = 100) -> Column:
-    """A title as a name for an IRI: accents folded, blanks and slashes to underscores, other signs dropped."""
-    t = F.translate(F.lower(c), "àáâãäåèéêëìíîïòóôõöùúûüçñýÿ", "aaaaaaeeeeiiiiooooouuuucnyy")
-    t = F.regexp_replace(F.regexp_replace(t, r"[ /\\\-]", "_"), r"[^a-z0-9_]", "")
+    """A title as a name for an IRI: accents folded, blanks, slashes and hyphens to underscores, listed signs dropped, the rest kept."""
+    odd, plain, marks = _folds()
+    t = F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, odd + marks, plain)).otherwise(c)  # what has no counterpart goes
+    t = F.lower(F.translate(t, " /\\-.,:;!?\"'()[]", "____"))
     t = F.regexp_replace(F.regexp_replace(t, "_+", "_"), "^_|_$", "")
-    return F.coalesce(F.nullif(F.left(t, F.lit(most)), F.lit("")), F.lit("untitled"))
+    return F.coalesce(F.nullif(F.regexp_replace(F.left(t, F.lit(most)), "_+$", ""), F.lit("")), F.lit("untitled"))
 
 
 def normalize_path(c: Column, base: str | None = None) -> Column:
@@ -101,3 +120,105 @@ def clean_description(c: Column) -> Column:
     t = F.trim(F.regexp_replace(c, r"\s+", " "))
     t = F.trim(F.regexp_replace(t, "^[\"']|[\"']$", ""))
     return F.when((t == "") | t.rlike(r"[.!?]$"), t).otherwise(F.concat(t, F.lit(".")))
+
+
+def media_category(c: Column) -> Column:
+    """image, video or audio for the media types that are listed, else NULL."""
+    known = F.create_map(*[F.lit(x) for kind, names in MEDIA_CATEGORIES.items() for n in names for x in (f"{kind}/{n}", kind)])
+    return F.try_element_at(known, F.lower(F.trim(F.substring_index(c, ";", 1))))
+
+
+def record_iri(identifier: Column, base: str) -> Column:
+    """<iri> as it is, anything else below ``base``."""
+    t = F.trim(identifier)
+    return F.when(F.startswith(t, F.lit("<")) & F.endswith(t, F.lit(">")), F.regexp_replace(t, "^<|>$", "")).otherwise(F.concat(F.lit(base), t))
+
+
+def record_kind(iri_or_id: Column) -> Column:
+    """Record or RecordSet by the id at the end; ids of no known form are Records unless they name a record set."""
+    last = F.regexp_extract(iri_or_id, r"([^/#]+)$", 1)
+    low = F.lower(iri_or_id)
+    guess = F.when(low.contains("recordset") | (F.size(F.split(low, "_")) > 5), F.lit("RecordSet")).otherwise(F.lit("Record"))
+    return F.when(last.rlike(r"_R[0-9]+$"), F.lit("Record")).when(last.rlike(r"(^|_)RS[0-9]+$"), F.lit("RecordSet")).otherwise(guess)
+
+
+def instantiation_id(c: Column) -> Column:
+    """What follows the last slash, or else the last hash sign; NULL without either."""
+    found = F.coalesce(F.nullif(F.regexp_extract(c, r"/([^/]+)$", 1), F.lit("")), F.nullif(F.regexp_extract(c, r"#([^#]+)$", 1), F.lit("")))
+    return F.translate(found, " :/", "___")
+
+
+def activity_parts(c: Column) -> Column:
+    """(inst, tool) of an extraction Activity's IRI .../<inst>_<tool>_metaextr."""
+    rx = r"/([^/]+)_([^_/]+)_metaextr"
+    part = lambda i, other: F.coalesce(F.nullif(F.regexp_extract(c, rx, i), F.lit("")), F.lit(other))
+    return F.struct(part(1, "unknown_inst").alias("inst"), part(2, "unknown_tool").alias("tool"))
+
+
+def tool_source(tool: Column) -> Column:
+    """The tool that a type of metadata comes from: exiftool, os, or else tika."""
+    t = F.lower(F.coalesce(tool, F.lit("")))
+    return F.when(t.contains("exif"), F.lit("exiftool")).when(t.contains("os") | t.contains("python"), F.lit("os")).otherwise(F.lit("tika"))
+
+
+def tool_short(tool: Column) -> Column:
+    """The tool's short name in IRIs."""
+    t = F.lower(tool)
+    return F.when(t.contains("apache tika"), F.lit("apachetika")).when(t.contains("exiftool"), F.lit("exiftool")).when(t.contains("os"), F.lit("os")).otherwise(F.translate(t, " -.", ""))
+
+
+def main_software(tool: Column, python: str) -> Column:
+    """The Software that a tool belongs to; ``python`` names the interpreter behind the file system's values."""
+    source = tool_source(tool)
+    return F.when(source == "exiftool", F.lit("ExifTool")).when(source == "os", F.lit(python)).otherwise(F.lit("Apache Tika"))
+
+
+def documentation(software: Column) -> Column:
+    """Where a program is documented, or NULL."""
+    name = F.lower(F.trim(software))
+    out = F.lit(None).cast("string")
+    for part, url in reversed(DOCUMENTATION):
+        out = F.when(name.contains(part), F.lit(url)).otherwise(out)
+    return out
+
+
+def model_label(model: Column) -> Column:
+    """A language model's name as it is written, its version kept if the name is known."""
+    low = F.lower(F.trim(model))
+    base, version = F.substring_index(low, ":", 1), F.when(low.contains(":"), F.concat(F.lit(":"), F.element_at(F.split(low, ":"), 2))).otherwise(F.lit(""))
+    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in MODELS for x in pair]), base)
+    return F.when(known.isNotNull(), F.concat(known, version)).otherwise(F.concat(F.upper(F.left(base, F.lit(1))), F.substring(base, 2, 1000)))
+
+
+def model_page(model: Column, base: str = "https://ollama.com/library/") -> Column:
+    return F.concat(F.lit(base), F.substring_index(F.lower(F.trim(model)), ":", 1))
+
+
+def counter(n: Column, width: int = 4) -> Column:
+    """A number with leading zeros; longer ones stay whole."""
+    t = n.cast("string")
+    return F.when(F.length(t) >= width, t).otherwise(F.lpad(t, width, "0"))
+
+
+def same_name(a: Column, b: Column) -> Column:
+    """Equal but for case."""
+    return F.lower(a) == F.lower(b)
+
+
+def share(part: Column, whole: Column, digits: int = 2) -> Column:
+    """Percent; NULL of nothing."""
+    return F.when(whole != 0, F.round(100.0 * part / whole, digits))
+
+
+#: Media types with a category of their own.
+MEDIA_CATEGORIES = {
+    "image": ["jpeg", "png", "tiff", "gif", "bmp", "webp", "heic", "heif", "svg+xml", "x-icon"],
+    "video": ["mp4", "quicktime", "x-msvideo", "x-matroska", "mpeg", "webm", "x-flv", "3gpp"],
+    "audio": ["mpeg", "wav", "x-wav", "ogg", "flac", "mp4", "aac", "webm", "x-ms-wma", "x-aiff"],
+}
+
+#: Part of a program's name, and its documentation.
+DOCUMENTATION = [("apache tika", "https://tika.apache.org/"), ("exiftool", "https://exiftool.org/"), ("python os", "https://docs.python.org/3/library/os.html")]
+
+#: Language models and how their names are written.
+MODELS = [("llama3.2", "Llama 3.2"), ("llama3.1", "Llama 3.1"), ("llama3", "Llama 3"), ("llama2", "Llama 2"), ("mistral", "Mistral"), ("codellama", "Code Llama"), ("phi3", "Phi-3"), ("gemma", "Gemma")]
