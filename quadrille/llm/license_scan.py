@@ -5,10 +5,12 @@ their words stand consecutively. Beyond them, a block is any run of at most 3/2
 meets the template if it holds ceil(0.8 * size) of its distinct words. Words are ordered by their frequency in all
 documents (the templates' words are counted over the whole corpus first; rare ones come first). By the prefix
 filter a block that qualifies holds one of a template's first size - need + 1 words; the length filter leaves out
-texts with fewer words than needed; by the positional filter a rarest word found at place i of the order allows at
-most size - i words more. Each remaining place is counted exactly, and overlapping blocks make one match.
+texts with fewer words than needed; by the positional filter the words are looked for in their order around such a
+place, and it is given up once those found and those still to come are fewer than needed. Each remaining place is
+counted exactly, and overlapping blocks make one match.
 
-Null and empty texts have no words and no matches. Repeated rows are judged alike; extra columns are ignored.
+Null and empty texts have no words and no matches. Repeated rows are judged alike; extra columns are ignored; an empty
+table gives no rows. Words of one frequency are ordered by their hash, matches with one start by label.
 """
 
 from __future__ import annotations
@@ -60,6 +62,16 @@ class Template:
         self.need = int(-(-threshold * self.size // 1))
         self.prefix, self.block = self.words[: self.size - self.need + 1], -(-3 * len(seq) // 2)
         self.place = {h: i for i, h in enumerate(self.words)}
+        self.order = np.array(self.words, U)
+
+    def reachable(self, region: np.ndarray) -> bool:
+        """Positional filter: in the words' order, no more of them may lack in the region than a match can do without."""
+        lacking = 0
+        for i in range(0, self.size, 8):  # a few places at a time, the rarest first
+            lacking += int((~np.isin(self.order[i : i + 8], region)).sum())
+            if self.size - lacking < self.need:
+                return False
+        return True
 
     def blocks(self, h: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """First word, last word and containment of each match; hits: places of prefix words, rising."""
@@ -69,6 +81,8 @@ class Template:
         groups = np.split(hits, np.flatnonzero(np.diff(hits) > 2 * self.block) + 1)
         for g in groups:
             lo, hi = max(done, int(g[0]) - self.block + 1), min(n, int(g[-1]) + self.block)
+            if not self.reachable(h[lo:hi]):
+                continue
             at = [(p, self.place[x]) for p, x in zip(range(lo, hi), h[lo:hi].tolist(), strict=True) if x in self.place]
             count, left, have, best = [0] * self.size, 0, 0, None
             for right in range(len(at)):
