@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quadrille.llm.embed_dedup import near_vectors
 from quadrille.llm.exact_dedup import exact_report
 from quadrille.llm.language_id import language_report
@@ -31,10 +33,15 @@ def queries():
         "op8_url_filter": _over("pages", judge_urls),
         "op9_license_scan": _over("documents", license_report),
         "op10_sentencepiece": _over("documents", encode_pieces),
+        # the columns of op1, op8 and op9 that SQL can say, through the same operators
+        "secret_counts": _over("documents", lambda docs: secret_report(docs).select("doc_id", "n_assign", "n_access", "n_hex")),
+        "url_rules": _over("pages", lambda pages: judge_urls(pages).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("by_rule"))),
+        "license_places": _over("documents", lambda docs: license_report(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")),
     }
 
 
 def oracle_sql():
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     # group_size, lengths and digests are all that SQL needs for exact duplicates; the others learn or tokenise
     return {
         "op2_exact_dedup": r"""
@@ -46,13 +53,34 @@ def oracle_sql():
         "op4_embedding_near_dedup": """
             WITH RECURSIVE v AS (
                 SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-                WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_aggregate(list_transform(embedding, x -> CAST(x IS NULL OR NOT isfinite(x) AS INT)), 'max') = 0
+                WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_aggregate(list_transform(embedding, lambda x: CAST(x IS NULL OR NOT isfinite(x) AS INT)), 'max') = 0
                   AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
             l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
-            r AS (SELECT vec_id AS id, vec_id AS at FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON r.at = l.a),
-            c AS (SELECT id, min(at) AS component_id FROM r GROUP BY id),
+            r AS (SELECT vec_id AS id, vec_id AS node FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON r.node = l.a),
+            c AS (SELECT id, min(node) AS component_id FROM r GROUP BY id),
             n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
             SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
             FROM embeddings JOIN c ON vec_id = id LEFT JOIN n ON vec_id = a
         """,
+        "secret_counts": r"""
+            SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:(password|passwd|secret|token|api_?key))["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
+                   len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access,
+                   len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex
+            FROM documents
+        """.replace("\\'", "''"),
+        "url_rules": f"""
+            WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+            h AS (SELECT page_id, {low.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+            k(kind, dom, pre) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+            f AS (SELECT page_id, arg_max(dom || pre, length(dom || pre)) AS rule, arg_max(kind, length(dom || pre)) AS by_rule FROM h JOIN k ON (host = dom OR ends_with(host, '.' || dom)) AND starts_with(path, pre) GROUP BY page_id)
+            SELECT page_id, host, path, rule, by_rule FROM h LEFT JOIN f USING (page_id)
+        """,
+        "license_places": rf"""
+            WITH w AS (SELECT doc_id, regexp_extract_all({low.format("coalesce(text, '')")}, '[0-9a-z\x80-\x{{10FFFF}}]+') AS w FROM documents),
+            p AS (SELECT doc_id, len(w) AS n, unnest(['cc-by', 'gpl', 'reserved']) AS label,
+                         unnest([list_filter(range(len(w)), lambda i: w[i + 1] = 'cc' AND w[i + 2] = 'by'), list_filter(range(len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license'),
+                                 list_filter(range(len(w)), lambda i: w[i + 1] = 'all' AND w[i + 2] = 'rights' AND w[i + 3] = 'reserved')]) AS at_word FROM w)
+            SELECT doc_id, n AS n_words, CAST(sum(len(at_word)) AS BIGINT) AS n_base, min(list_min(at_word)) AS first_word, max(list_max(at_word)) AS last_word,
+                   coalesce(string_agg(label, ',' ORDER BY label) FILTER (len(at_word) > 0), '') AS base_labels FROM p GROUP BY doc_id, n
+        """,
     }

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.shared import NO_ID, ROWS_A_FILE, Scratch
+from quadrille.llm.shared import NO_ID, ROWS_A_FILE, Scratch, own_names
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FILES = "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"
@@ -115,17 +115,16 @@ def drop_exact(docs: DataFrame, digest=sha256_of) -> DataFrame:
     """docs without the rows that another one stands for. Rows are told by doc_id and text, so that one doc_id may have several texts."""
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     groups, keys, rows = _groups(docs, digest, scratch)
-    gone = scratch.save(groups.where("doc_id <> keep_id").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "gone", rows, KEYS_A_FILE)
-    repeated = scratch.save(keys.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "repeated", rows, KEYS_A_FILE)
-    clashed = F.instr("_digest", ":") > 0
+    i, d, t, n, row = own_names(docs, "id", "digest", "text", "n", "row")
+    gone = scratch.save(groups.where("doc_id <> keep_id").select(F.col("doc_id").alias(i), F.col("digest").alias(d)).distinct(), "gone", rows, KEYS_A_FILE)
+    repeated = scratch.save(keys.groupBy(F.col("doc_id").alias(i), F.col("digest").alias(d)).agg(F.count("*").alias(n)).where(F.col(n) > 1).drop(n), "repeated", rows, KEYS_A_FILE)
+    clashed = F.instr(F.col(d), ":") > 0
     norm = normalised(F.col("text"))
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_digest", digest(norm))
-    on = ["_id", "_digest"]
-    out = named.join(gone.where(~clashed), on, "left_anti")
+    out = docs.withColumn(i, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(d, digest(norm)).join(gone.where(~clashed), [i, d], "left_anti")
     if not gone.where(clashed).isEmpty():
-        out = out.withColumn("_text", F.concat("_digest", F.lit(":"), norm)).join(gone.where(clashed).withColumnRenamed("_digest", "_text"), ["_id", "_text"], "left_anti")
+        out = out.withColumn(t, F.concat(d, F.lit(":"), norm)).join(gone.where(clashed).withColumnRenamed(d, t), [i, t], "left_anti")
     if not repeated.isEmpty():
         order = F.struct(F.char_length(F.coalesce("text", F.lit(""))), F.xxhash64(*docs.columns))
-        one = out.join(repeated, on, "left_semi").groupBy(*on, norm.alias("_norm")).agg(F.max_by(F.struct(*docs.columns), order).alias("_row"))
-        out = out.join(repeated, on, "left_anti").select(docs.columns).unionByName(one.select("_row.*"))
+        one = out.join(repeated, [i, d], "left_semi").groupBy(i, d, norm.alias(t)).agg(F.max_by(F.struct(*docs.columns), order).alias(row))
+        out = out.join(repeated, [i, d], "left_anti").select(docs.columns).unionByName(one.select(f"{row}.*"))
     return out.select(docs.columns).coalesce(max(1, -(-rows // ROWS_A_FILE)))

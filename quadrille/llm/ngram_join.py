@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.graph import components
-from quadrille.llm.shared import NO_ID, Scratch, arrow_map, doc_ranges, string_buffer
+from quadrille.llm.shared import NO_ID, Scratch, arrow_map, doc_ranges, own_names, string_buffer
 from quadrille.llm.words import NOT_SPACE, PIECE, U, mix, shingle_sets, words_by_text
 
 SEGMENTS, TILE, STARS = 8, 2048, 4
@@ -398,6 +398,7 @@ def drop_near(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
     classes = jaccard_classes(docs, k, percent, scratch)[0]
-    gone = scratch.save(classes.where("NOT first").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "gone")
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_key", key_of(F.col("text")))
-    return named.join(gone, ["_id", "_key"], "left_anti").select(docs.columns)
+    i, k = own_names(docs, "id", "key")
+    gone = scratch.save(classes.where("NOT first").select(F.col("doc_id").alias(i), F.col("key").alias(k)).distinct(), "gone")
+    named = docs.withColumn(i, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(k, key_of(F.col("text")))
+    return named.join(gone, [i, k], "left_anti").select(docs.columns)

@@ -6,8 +6,8 @@ the stretches of a run that do so. Digests in upper case and UUIDs that stand al
 left out, and what the fixed kinds take; the rest of such a run is tested. Separators have no weight, so that names
 made of words and numbers are told by the ratio alone. Offsets are code points, ends exclusive.
 
-Null and empty texts have no spans. Repeated rows are judged one by one; extra columns are ignored. Texts of
-any length are scanned whole.
+Null and empty texts have no spans. Repeated rows are judged one by one; extra columns are ignored; an empty table
+gives no rows. Texts of any length are scanned whole. Spans with one start stand in the order of the kinds.
 """
 
 from __future__ import annotations

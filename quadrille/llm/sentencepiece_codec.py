@@ -7,8 +7,8 @@ when the model is loaded; otherwise texts go whole), and units not met before ar
 batches. Each new unit is held against the sentencepiece library; where the two differ, sentencepiece's ids stand
 and the unit counts as one without parity.
 
-Null texts count as empty and have no ids. Repeated rows are encoded alike; extra columns are ignored. Texts are
-encoded whole.
+Null texts count as empty and have no ids. Repeated rows are encoded alike; extra columns are ignored; an empty table
+gives no rows. Texts are encoded whole.
 """
 
 from __future__ import annotations

@@ -69,6 +69,13 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """Names of our own for columns beside those of df."""
+    taken = {c.lower() for c in df.columns}
+    mark = next(k for k in range(1, len(taken) + 2) if not any(n + "_" * k in taken for n in names))
+    return [n + "_" * mark for n in names]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

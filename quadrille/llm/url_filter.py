@@ -5,7 +5,8 @@ small labelled table (LABELLED, or one of the same shape) by stochastic gradient
 its DIM weights come to the driver and go into the scoring expression as constants. No Python runs on executors.
 
 A null url, or one without ``://``, has an empty host and path, no rule, and the verdict that the regression gives
-an empty text. Repeated rows are judged alike; extra columns are ignored.
+an empty text. Urls of any length are read whole. Repeated rows are judged alike; extra columns are ignored; an empty
+table gives no rows. No two rules that fit one url can be equally long unless they are equal; of those the last wins.
 """
 
 from __future__ import annotations
@@ -44,13 +45,19 @@ def _features(host: Column, path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), last), lambda i: F.pmod(F.xxhash64(F.substr(text, i, F.lit(GRAM))), F.lit(DIM)).cast("int"))
 
 
-def fit(spark: SparkSession, table: DataFrame | None = None) -> list[float]:
-    """DIM + 1 weights, the last for the constant. table: url string, label int (1 for block); rows with nulls don't count."""
+FIT_ROWS = 5000
+
+
+def fit(spark: SparkSession, table: DataFrame | None = None, fit_rows: int = FIT_ROWS) -> list[float]:
+    """DIM + 1 weights, the last for the constant. table: url string, label int (1 for block); rows with nulls don't count.
+
+    At most ``fit_rows`` rows are gathered, in order of a hash: one task holds them.
+    """
     table = table if table is not None else spark.createDataFrame(labelled(), "url string, label int")
     host, path = parts(F.col("url"))
     rows = table.where("url IS NOT NULL AND label IS NOT NULL").select("label", _features(host, path).alias("f"))
     one = F.collect_list(F.struct(F.xxhash64("f").alias("o"), F.col("label").cast("double").alias("y"), "f"))
-    data = rows.coalesce(1).agg(F.array_sort(one).alias("d"))
+    data = rows.orderBy(F.xxhash64("f"), "label").limit(fit_rows).agg(F.array_sort(one).alias("d"))
     dense = F.transform("d", lambda r: F.struct(r["y"].alias("y"), F.transform(F.sequence(F.lit(0), F.lit(DIM)), lambda i: F.when(i == DIM, F.lit(1.0)).otherwise(F.size(F.filter(r["f"], lambda g: g == i)) / F.sqrt(F.size(r["f"]).cast("double")))).alias("x")))
     data = data.select(dense.alias("d"))
 

@@ -29,3 +29,11 @@ def test_run_over_a_table(spark, tmp_path):
     read_table(spark, "/root/testdata/sf0.001", "documents").write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_stages_of_an_empty_table_with_clashing_columns(spark):
+    docs = spark.createDataFrame([], "doc_id long, node long, text string, lang string, source string, n_chars int, _id int, digest string, key string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
