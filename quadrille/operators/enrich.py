@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import tables
 from quadrille.functions.scalars import clean_mime, date_in_words, normalize_date
 from quadrille.functions.terms import PREFIX, iri
-from quadrille.operators.quads import Quads, edges, having, instances, new_only, pattern, quad_rows, typed, without
+from quadrille.operators.quads import Quads, edges, having, instances, new_only, pattern, quad_rows, without
 
 GRAPH = PREFIX["ex"] + "graph/updated_relations"
 SIXTY_FOUR = "^[a-fA-F0-9]{64}$"

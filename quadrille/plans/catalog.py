@@ -398,6 +398,19 @@ DOMAIN = {
     "k1_nquads_round_trip": (lambda s, d: _round_trip(s, d), "SELECT doc_id, text FROM documents"),
     "a8_status_histogram": (lambda s, d: _i3(s, d).groupBy("kind").agg(F.count("*").alias("n")), "SELECT CASE WHEN doc_id % 31 = 0 THEN 'MISSING' WHEN doc_id % 43 = 0 THEN 'NEW' ELSE 'CHANGED' END AS kind, count(*) AS n FROM documents WHERE NOT (doc_id % 31 = 0 AND doc_id % 43 = 0) AND (doc_id % 31 = 0 OR doc_id % 43 = 0 OR doc_id % 41 = 0) GROUP BY 1"),
 }
+#: quads and subjects of each graph, as the lift makes them
+GRAPHS = f"""{BASE}, m AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 97 = 0) AS shared, count(*) FILTER (doc_id % 83 = 0 OR doc_id % 79 = 0) AS second, count(*) FILTER (doc_id % 3 = 0) AS hashing,
+       CAST(sum(18 + CAST(doc_id % 50 <> 0 AS INT) + CAST(doc_id % 71 <> 0 AS INT) + CAST(doc_id % 61 = 0 AS INT) + CAST(doc_id % 73 = 0 AS INT) + CAST(doc_id % 10 <> 0 AS INT) + 2 * CAST(doc_id % 3 = 0 AS INT) + 3 * CAST(doc_id % 83 = 0 OR doc_id % 79 = 0 AS INT) + CAST(doc_id % 79 = 0 AS INT)) AS BIGINT) AS quads FROM d),
+f AS (SELECT count(*) AS leaves, count(DISTINCT lang) AS langs, count(*) FILTER (source = 'src1') + count(DISTINCT lang) FILTER (lang = 'fr') AS cycles FROM leaf),
+a AS (SELECT count(*) AS n, CAST(sum(4 - CAST(doc_id % 53 = 0 AS INT) - CAST(doc_id % 11 = 0 AS INT) - CAST(doc_id % 13 = 0 AS INT) - CAST(doc_id % 17 = 0 AS INT) - CAST(doc_id % 19 = 0 AS INT)) AS BIGINT) AS quads FROM k), t AS (SELECT count(*) AS n FROM tm)
+SELECT '{EX}graph/structure' AS g, quads + 12 * leaves + 6 * langs + cycles + 40 AS n_triples, 5 * n - shared + least(1, shared) + hashing + second + 3 * leaves + 2 * langs + 15 AS n_subjects FROM m, f
+UNION ALL SELECT '{EX}graph/metadata', a.quads + 5 * t.n, 2 * a.n + t.n FROM a, t WHERE a.n > 0"""
+
+
+#: a location that several files share is one triple less for each of them but one, twice
+TOTAL = f"SELECT CAST(sum(n_triples) - 2 * (SELECT greatest(count(*) - 1, 0) FROM documents WHERE doc_id % 97 = 0) AS BIGINT) AS count FROM ({GRAPHS})"
+
+
 def _again(spark, sf_dir):
     """Other entities that bear a Record's identifier."""
     d = lift.table(spark, sf_dir, "documents").where("doc_id % 29 = 0")
@@ -427,7 +440,7 @@ def queries():
 
 
 def oracle_sql():
-    return VALIDATION_SQL | {name: sql for name, (_, sql) in DOMAIN.items()}
+    return VALIDATION_SQL | {name: sql for name, (_, sql) in DOMAIN.items()} | {"g_graph_overview": GRAPHS, "g_graph_triples": GRAPHS, "v01_total_triples": TOTAL}
 
 
 __all__ = ["COUNTED", "LABELLED", "oracle_sql", "queries", "typed"]
