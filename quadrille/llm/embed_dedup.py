@@ -4,9 +4,10 @@ Only vectors of one label (and one dimension) are compared. Identical vectors ar
 centroids are fitted on a hashed sample of about ``fit_rows`` points; every point is owned by its nearest cell. If
 x is owned by cell i and y by cell j, and their cosine reaches the threshold, then |x - y| <= d with
 d = sqrt(2 - 2 * threshold), so y . (c_j - c_i) <= d * |c_j - c_i|. A point is therefore also a guest in each cell i
-that meets this, and an owner's links all lie among the members of its own cell: nothing is lost. Cells are cut
-into tiles, and a task multiplies one tile of owners with one of members, in double precision; it returns link
-counts and a spanning forest of the links it saw, not the pairs.
+below its own that meets this, and two points that link meet once: in their cell, or in the lower one of their two,
+where the link counts for both. Nothing is lost. Cells are cut into tiles, and a task multiplies one tile of owners
+with one of members, in double precision; it returns link counts and a spanning forest of the links it saw, not the
+pairs.
 
 Vectors that are null, empty, zero or hold a null or non-finite component, and vectors without a label, link with
 nothing. Equal rows count as copies of each other; different vectors under one vec_id act as one vertex. Extra
@@ -91,7 +92,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, fit_rows: int = 20
                 if len(r) == c.shape[1] and len(c) > 1:
                     near = c @ r
                     own = int(near.argmax())
-                    cells = np.flatnonzero(near[own] - near <= gap[own]).tolist()
+                    cells = np.flatnonzero((near - near[own] + gap[own])[: own + 1] >= 0).tolist()
                 for cell in cells:
                     for o, val in zip(out, (f"{label[i]}\0{len(r)}", cell, cell == own, point[i], weight[i], r.tobytes()), strict=True):
                         o.append(val)
@@ -104,8 +105,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, fit_rows: int = 20
     size = placed.groupBy("kind", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tm"), F.ceil(F.sum(F.col("own").cast("int")) / TILE).cast("int").alias("to")).where("to > 0")
     tiled = placed.join(size, ["kind", "cell"])
     tile = lambda n: F.pmod(F.xxhash64("point"), F.col(n)).cast("int")
-    asks = tiled.where("own").select("kind", "cell", tile("to").alias("o"), F.explode(F.sequence(F.lit(0), F.col("tm") - 1)).alias("m"), F.lit(True).alias("ask"), "point", "weight", "u")
-    told = tiled.select("kind", "cell", F.explode(F.sequence(F.lit(0), F.col("to") - 1)).alias("o"), tile("tm").alias("m"), F.lit(False).alias("ask"), "point", "weight", "u")
+    asks = tiled.where("own").select("kind", "cell", tile("to").alias("o"), F.explode(F.sequence(F.lit(0), F.col("tm") - 1)).alias("m"), F.lit(True).alias("ask"), "own", "point", "weight", "u")
+    told = tiled.select("kind", "cell", F.explode(F.sequence(F.lit(0), F.col("to") - 1)).alias("o"), tile("tm").alias("m"), F.lit(False).alias("ask"), "own", "point", "weight", "u")
 
     def compare(group: pa.Table) -> pa.Table:
         ask = group.column("ask").to_numpy()
@@ -113,10 +114,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, fit_rows: int = 20
         u = np.frombuffer(b"".join(group.column("u").to_pylist()), float).reshape(len(point), -1)
         a, b = np.flatnonzero(ask), np.flatnonzero(~ask)
         i, j = np.nonzero(u[a] @ u[b].T >= threshold)
-        n = np.bincount(i, weights=weight[b][j], minlength=len(a)).astype(np.int64)
         ids, back = np.unique(point, return_inverse=True)
-        low = ids[local_forest(back[a][i], back[b][j], len(ids))]
-        return pa.table({"point": np.concatenate([point[a], ids]), "n": np.concatenate([n, np.zeros(len(ids), np.int64)]), "low": np.concatenate([point[a], low])})
+        x, y = back[a][i], back[b][j]
+        guest = ~group.column("own").to_numpy()[b][j]  # asks nowhere itself for these links
+        n = np.bincount(x, weights=weight[b][j], minlength=len(ids)) + np.bincount(y[guest], weights=weight[a][i][guest], minlength=len(ids))
+        return pa.table({"point": ids, "n": n.astype(np.int64), "low": ids[local_forest(x, y, len(ids))]})
 
     seen = scratch.save(asks.unionByName(told).groupBy("kind", "cell", "o", "m").applyInArrow(compare, "point long, n long, low long"), "seen")
     counts = seen.groupBy("point").agg((F.sum("n") - 1).alias("n_links"))
