@@ -120,7 +120,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, fit_rows: int = 20
         n = np.bincount(x, weights=weight[b][j], minlength=len(ids)) + np.bincount(y[guest], weights=weight[a][i][guest], minlength=len(ids))
         return pa.table({"point": ids, "n": n.astype(np.int64), "low": ids[local_forest(x, y, len(ids))]})
 
-    seen = scratch.save(asks.unionByName(told).groupBy("kind", "cell", "o", "m").applyInArrow(compare, "point long, n long, low long"), "seen")
+    tiles = asks.unionByName(told).repartition("kind", "cell", "o", "m")  # else all tiles of a cell may stay where its join put them
+    seen = scratch.save(tiles.groupBy("kind", "cell", "o", "m").applyInArrow(compare, "point long, n long, low long"), "seen")
     counts = seen.groupBy("point").agg((F.sum("n") - 1).alias("n_links"))
     reach_of = components(seen.where("point <> low").select(F.col("point").alias("a"), F.col("low").alias("b")), scratch, "links").toDF("point", "component_id")
     named = points.select("label", "h", "v", "point").join(counts, "point").join(reach_of, "point", "left")
