@@ -28,6 +28,9 @@ from quadrille.llm.shared import Scratch, arrow_map
 
 TILE = 1024
 
+#: A table of cells up to so many rows is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 50_000
+
 
 def fit_cells(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Unit centroids of unit rows; starts are spread over the rows, empty cells keep their centroid."""
@@ -103,7 +106,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, fit_rows: int = 20
 
     placed = scratch.save(arrow_map(points.select("label", "point", "weight", "v"), place, "kind string, cell int, own boolean, point long, weight long, u binary"), "placed")
     size = placed.groupBy("kind", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tm"), F.ceil(F.sum(F.col("own").cast("int")) / TILE).cast("int").alias("to")).where("to > 0")
-    tiled = placed.join(size, ["kind", "cell"])
+    size = scratch.save(size, "sizes")
+    tiled = placed.join(F.broadcast(size) if size.count() <= BROADCAST_ROWS else size, ["kind", "cell"])
     tile = lambda n: F.pmod(F.xxhash64("point"), F.col(n)).cast("int")
     asks = tiled.where("own").select("kind", "cell", tile("to").alias("o"), F.explode(F.sequence(F.lit(0), F.col("tm") - 1)).alias("m"), F.lit(True).alias("ask"), "own", "point", "weight", "u")
     told = tiled.select("kind", "cell", F.explode(F.sequence(F.lit(0), F.col("to") - 1)).alias("o"), tile("tm").alias("m"), F.lit(False).alias("ask"), "own", "point", "weight", "u")

@@ -209,6 +209,8 @@ def test_embedding_tiles(spark, monkeypatch):
     rows = [(i, (np.ones(8) + rng.normal(size=8) * 0.12).tolist(), 1) for i in range(120)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     assert sorted(map(tuple, embed_dedup.near_vectors(df, points_per_cell=30).collect())) == vectors_brute(rows)
+    monkeypatch.setattr(embed_dedup, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, embed_dedup.near_vectors(df, points_per_cell=30).collect())) == vectors_brute(rows)
 
 
 def jaccard_brute(rows, k, percent):
