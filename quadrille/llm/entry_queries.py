@@ -8,7 +8,7 @@ from quadrille.llm.embed_dedup import near_vectors
 from quadrille.llm.exact_dedup import exact_report
 from quadrille.llm.language_id import language_report
 from quadrille.llm.license_scan import license_report
-from quadrille.llm.ngram_join import jaccard_report
+from quadrille.llm.ngram_join import jaccard_links, jaccard_report
 from quadrille.llm.packing import pack
 from quadrille.llm.secrets import secret_report
 from quadrille.llm.sentencepiece_codec import encode_pieces
@@ -36,12 +36,24 @@ def queries():
         # the columns of op1, op8 and op9 that SQL can say, through the same operators
         "secret_counts": _over("documents", lambda docs: secret_report(docs).select("doc_id", "n_assign", "n_access", "n_hex")),
         "url_rules": _over("pages", lambda pages: judge_urls(pages).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("by_rule"))),
+        # every link of op5's join, not only a set of them that connects the classes
+        "ngram_links": _over("documents", jaccard_links),
         "license_places": _over("documents", lambda docs: license_report(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")),
     }
 
 
 def oracle_sql():
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # 4-word shingles, pairs that link, what is reachable
+    shingles = rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({low.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+        r AS (SELECT doc_id AS id, doc_id AS node FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON r.node = l.a),
+        c AS (SELECT id, min(node) AS component_id FROM r GROUP BY id),
+        k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)"""
     # group_size, lengths and digests are all that SQL needs for exact duplicates; the others learn or tokenise
     return {
         "op2_exact_dedup": r"""
@@ -62,6 +74,8 @@ def oracle_sql():
             SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
             FROM embeddings JOIN c ON vec_id = id LEFT JOIN n ON vec_id = a
         """,
+        "op5_ngram_jaccard": f"{shingles} SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents JOIN c ON doc_id = id LEFT JOIN n USING (doc_id)",
+        "ngram_links": f"{shingles} SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM documents JOIN c ON doc_id = id LEFT JOIN n USING (doc_id) LEFT JOIN k ON doc_id = a",
         "secret_counts": r"""
             SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:(password|passwd|secret|token|api_?key))["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
                    len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access,

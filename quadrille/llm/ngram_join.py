@@ -318,11 +318,13 @@ def _tiles(members: DataFrame, profiles: DataFrame, percent: int, scratch: Scrat
     return rows.groupBy("sig", "t0", "t1").applyInArrow(pairs, "a long, b long").unionByName(twos).distinct()
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None, seed: int = 1, all_links: bool = False) -> tuple[DataFrame, DataFrame]:
     """Two tables: (doc_id, key, n_shingles, node, component_id, first) of every row, and links (a, b, common) between nodes.
 
     doc_id and component_id are NO_ID for null; key tells texts under one doc_id; first: whether the row stands for its class.
-    The links are those that were counted; together they connect whatever all links connect.
+    The links are those that were counted; together they connect whatever all links connect. all_links: every link
+    between different sets. Then all pairs that share a fragment and pass the bounds are counted, also within a class,
+    which is as much work as there are such pairs.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "ngram-join")
@@ -333,7 +335,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scr
     reps = scratch.save(reps, "reps", n_docs)
     n, clash = reps.agg(F.count("*"), F.max(F.col("e0") != F.col("e1"))).first()  # n bounds what has a row a node below
     if clash:
-        return jaccard_classes(given, k, percent, Scratch(spark, "ngram-join"), seed + 1)
+        return jaccard_classes(given, k, percent, Scratch(spark, "ngram-join"), seed + 1, all_links)
 
     sigs = _signatures(docs, k, percent, seed)
     shared = sigs.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("sig", "size")
@@ -354,14 +356,18 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scr
     n_met = weighed.count()
     wanted = weighed.select("node").distinct().join(reps.select("node", "rep.*"), "node")
     profiles = scratch.save(_profiles(docs.join(wanted, ["doc_id", "key"]).select("node", "text").dropDuplicates(["node"]), k), "profiles", n, 2000)
-    leaders = weighed.groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("top")).select("sig", F.col("top.node").alias("leader"))
-    tried = scratch.save(_star_pairs(weighed.join(leaders, "sig").select("node", "leader")), "stars-0", n)
-    found = [_links(tried, profiles, percent, scratch, "stars-0")]
-    comp = _merge(None, found[0], scratch, "near-0", n) if found[0] else None
     alone = reps.select("node", F.col("node").alias("comp")).limit(0)
-    split = scratch.save(_split_blocks(weighed.select("sig", "node"), comp or alone), "split-0", n_met, 20_000)
-    scratch.drop("weighed")
-    for i in range(1, STARS):
+    if all_links:
+        tried, found, comp = alone.toDF("a", "b"), [], None
+        split = weighed.select("sig", "node", F.col("node").alias("comp"))
+    else:
+        leaders = weighed.groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("top")).select("sig", F.col("top.node").alias("leader"))
+        tried = scratch.save(_star_pairs(weighed.join(leaders, "sig").select("node", "leader")), "stars-0", n)
+        found = [_links(tried, profiles, percent, scratch, "stars-0")]
+        comp = _merge(None, found[0], scratch, "near-0", n) if found[0] else None
+        split = scratch.save(_split_blocks(weighed.select("sig", "node"), comp or alone), "split-0", n_met, 20_000)
+        scratch.drop("weighed")
+    for i in range(1, 1 if all_links else STARS):
         if split.isEmpty():
             break
         more = scratch.save(_cross_stars(split, i).join(tried, ["a", "b"], "left_anti"), f"stars-{i}", n)
@@ -374,7 +380,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scr
         rest = scratch.save(_tiles(split, profiles, percent, scratch).join(tried, ["a", "b"], "left_anti"), "rest")
         if links := _links(rest, profiles, percent, scratch, "rest"):
             found.append(links)
-            comp = _merge(comp, links, scratch, "all", n)
+            comp = _merge(comp, links, scratch, "all", max(n, links.count()) if all_links else n)
     found = [x for x in found if x]
     links = functools.reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "a long, b long, common long")
     named = scratch.save(reps.select("node", "rep").join(comp or alone, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named", n)
@@ -386,6 +392,22 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scr
     return out.unionByName(empty), links
 
 
+def jaccard_links(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row; n_links: how many other rows it links with directly, rows with an equal set among them.
+
+    Equal sets are one node with a weight, so only links between different sets are counted one by one.
+    """
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
+    rows, links = jaccard_classes(docs, k, percent, all_links=True)
+    size = rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("size"))
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.join(size.toDF("b", "size"), "b").groupBy("a").agg(F.sum("size").alias("near")).toDF("node", "near")
+    counts = size.join(near, "node", "left").select("node", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    out = rows.where("node IS NOT NULL").join(counts, "node").select("doc_id", "n_shingles", "component_id", "n_links")
+    out = out.unionByName(rows.where("node IS NULL").select("doc_id", "n_shingles", "component_id", F.lit(0).cast("long").alias("n_links")))
+    return out.select(known("doc_id"), "n_shingles", known("component_id"), "n_links")
+
+
 def jaccard_report(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return jaccard_classes(docs, k, percent)[0].select(known("doc_id"), "n_shingles", known("component_id"))

@@ -213,7 +213,7 @@ def test_embedding_tiles(spark, monkeypatch):
     assert sorted(map(tuple, embed_dedup.near_vectors(df, points_per_cell=30).collect())) == vectors_brute(rows)
 
 
-def jaccard_brute(rows, k, percent):
+def jaccard_brute(rows, k, percent, links=False):
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t))
@@ -225,6 +225,9 @@ def jaccard_brute(rows, k, percent):
     common = Counter((a, b) for h in holders.values() for a in h for b in h if a < b)
     pairs = [p for p, n in common.items() if 100 * n >= percent * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
     comp = parent_classes(list(sets), pairs)
+    if links:
+        n = Counter(x for p in pairs for x in p)
+        return {(i, len(s), comp[i], n[i]) for i, s in sets.items()}
     return {(i, len(s), comp[i]) for i, s in sets.items()}
 
 
@@ -252,6 +255,8 @@ def test_jaccard_tiles(spark, monkeypatch):
     rows = [(i, " ".join(base[: 30 + i % 9] + [f"u{i}_{j}" for j in range(i % 5)])) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(r) for r in ngram_join.jaccard_report(df, 4, 85).collect()} == jaccard_brute(rows, 4, 85)
+    assert {tuple(r) for r in ngram_join.jaccard_links(df, 4, 85).collect()} == jaccard_brute(rows, 4, 85, True)
+    assert ngram_join.jaccard_links(df.where("doc_id < 0")).count() == 0
 
 
 def test_fragments_lose_no_link():
