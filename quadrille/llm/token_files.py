@@ -8,7 +8,8 @@ what stands before.
 
 Files follow doc_id: each range of doc_ids makes one, and a manifest names the files that count, so a retried
 task leaves nothing but an unlisted file. Null texts count as empty (the end id alone); rows repeating a doc_id
-keep a place each; extra columns are ignored; an empty table has no files.
+keep a place each, in order of their texts; those without a doc_id come last, as NO_ID in the files; extra columns
+are ignored; an empty table has no files.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.shared import Scratch, arrow_map, text_slices
+from quadrille.llm.shared import NO_ID, Scratch, arrow_map, text_slices
 from quadrille.llm.tokens import encoder, public_path
 
 MAGIC, BLOCK = b"QTK1", 1 << 16
@@ -148,7 +149,7 @@ def write_token_files(docs: DataFrame, scratch: Scratch, vocabulary: str | None
             n_docs, n_ids = len(out.docs), out.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([url]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], ["part", "url", "n_docs", "n_ids"])
 
-    rows = text_slices(docs).where("doc_id IS NOT NULL").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = text_slices(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return scratch.save(rows.mapInArrow(write, "part long, url string, n_docs long, n_ids long"), "manifest")
 
 
@@ -167,7 +168,7 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     for a in range(0, len(r.docs), 2000):
                         z = min(a + 2000, len(r.docs))
                         raw = [r.ids(k).astype("<u4").tobytes() for k in range(a, z)]
-                        cols = [pa.array(r.docs[a:z]), pa.array(r.firsts[a:z] + base), pa.array(np.diff(r.firsts[a : z + 1])), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
+                        cols = [pa.array(r.docs[a:z], mask=r.docs[a:z] == NO_ID), pa.array(r.firsts[a:z] + base), pa.array(np.diff(r.firsts[a : z + 1])), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
                         names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                         if with_ids:
                             cols.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in raw], pa.list_(pa.int32())))

@@ -325,6 +325,9 @@ def test_token_files(spark, docs, odd, none):
             at += len(raw) // 4
         assert sorted(map(tuple, token_files.token_file_report(df).collect())) == sorted(want)
     assert token_files.token_file_report(none).count() == 0
+    unnamed = spark.createDataFrame([(None, "last"), (3, "b"), (None, None), (1, "a")], "doc_id long, text string")
+    got = [(r["doc_id"], r["start"], r["n_tokens"]) for r in token_files.token_file_report(unnamed).orderBy("start").collect()]
+    assert got == [(1, 0, 2), (3, 2, 2), (None, 4, 1), (None, 5, 2)]
 
 
 def test_bits(tmp_path):
