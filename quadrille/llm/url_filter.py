@@ -1,6 +1,6 @@
 """URL verdicts with DataFrame functions alone: domain and path rules, then logistic regression.
 
-The regression reads hashed character n-grams of host and path (signed counts in DIM buckets) and is fitted on a
+The regression reads hashed character n-grams of host and path (which of DIM buckets they fall into) and is fitted on a
 small labelled table (LABELLED, or one of the same shape) by stochastic gradient steps inside one SQL expression;
 its DIM weights come to the driver and go into the scoring expression as constants. No Python runs on executors.
 
@@ -16,19 +16,39 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DIM, GRAM, EPOCHS, RATE = 256, 4, 30, 0.15
+DIM, GRAM, EPOCHS, RATE = 4096, 4, 15, 0.5
 
 #: The rules of the query contract.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
-_GOOD = ["news", "docs", "wiki", "blog", "library", "science", "journal", "museum", "school", "archive", "weather", "recipes"]
-_BAD = ["casino", "viagra", "poker", "xxx", "adult", "warez", "torrent", "betting", "pills", "spam", "clickbait", "porn"]
-_PLACES = [("https://www.{}.example.net/en/{}", 120), ("http://{}.example.com/articles/{}", 7), ("https://m.example.net/{}/{}", 35)]
+#: Words of the default labelled table: hosts to allow, hosts to block, and what either may bear beside them.
+_GOOD = [
+    "news", "docs", "wiki", "blog", "library", "science", "journal", "museum", "school", "archive", "weather", "recipes",
+    "garden", "history", "music", "travel", "health", "university", "research", "kitchen", "planet", "village", "theatre", "forum",
+    "cycling", "mountain", "harbour", "painting", "chemistry", "physics", "letters", "council", "railway", "orchard", "teaching", "software",
+    "market", "studio", "nature", "language", "maison", "jardin", "musique", "ecole", "voyage", "zeitung", "garten", "schule", "reise", "buch",
+]
+_BAD = [
+    "casino", "viagra", "poker", "xxx", "adult", "warez", "torrent", "betting", "pills", "spam", "clickbait", "porn",
+    "gambling", "roulette", "jackpot", "slots", "bingo", "lottery", "escort", "nude", "sexcam", "cialis", "keygen", "cracks", "replica",
+    "payday", "malware", "phishing", "adserver", "adtracker", "popunder", "linkfarm",
+]
+_BESIDE = ["", "-online", "best", "-24", "city", "my-", "the", "-club", "world", "new-"]
+_PLACES = ["https://www.{}.example.net/en/{}", "http://{}.example.com/articles/{}", "https://m.{}.example.org/fr/{}.html", "http://{}.example/de/{}?page=2", "https://blog.{}.example.com/{}"]
+#: Urls a word stands in, the same for both labels, so that nothing but the words tells them apart.
+_URLS = 5
 
 
 def labelled() -> list[tuple[str, int]]:
-    """The default labelled table: 72 urls, 1 for block."""
-    return [(place.format(word, n + i), y) for y, words in ((0, _GOOD), (1, _BAD)) for i, word in enumerate(words) for place, n in _PLACES]
+    """The default labelled table, 1 for block: each word alone and with what may stand beside it, in places that go round."""
+    out = []
+    for y, words in ((0, _GOOD), (1, _BAD)):
+        for i, word in enumerate(words):
+            for j in range(_URLS):
+                beside = _BESIDE[(3 * i + j) % len(_BESIDE)] if j else ""
+                host = word + beside if beside.startswith("-") else beside + word
+                out.append((_PLACES[(i + j) % len(_PLACES)].format(host, 7919 * (i * _URLS + j + 1) % 4093), y))
+    return out
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -39,10 +59,15 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 
 def _features(host: Column, path: Column) -> Column:
-    """Buckets of the n-grams of ``^host$path^``."""
+    """Buckets of the n-grams of ``^host$path^``, each once."""
     text = F.concat(F.lit("^"), host, F.lit("$"), path, F.lit("^"))
     last = F.greatest(F.char_length(text) - (GRAM - 1), F.lit(1))
-    return F.transform(F.sequence(F.lit(1), last), lambda i: F.pmod(F.xxhash64(F.substr(text, i, F.lit(GRAM))), F.lit(DIM)).cast("int"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.pmod(F.xxhash64(F.substr(text, i, F.lit(GRAM))), F.lit(DIM)).cast("int")))
+
+
+def _sum(w: Column, f: Column) -> Column:
+    """Weights of the buckets, over a norm, and the constant."""
+    return F.aggregate(f, F.lit(0.0), lambda s, i: s + F.get(w, i)) / F.sqrt(F.size(f).cast("double")) + F.get(w, F.lit(DIM))
 
 
 FIT_ROWS = 5000
@@ -58,12 +83,12 @@ def fit(spark: SparkSession, table: DataFrame | None = None, fit_rows: int = FIT
     rows = table.where("url IS NOT NULL AND label IS NOT NULL").select("label", _features(host, path).alias("f"))
     one = F.collect_list(F.struct(F.xxhash64("f").alias("o"), F.col("label").cast("double").alias("y"), "f"))
     data = rows.orderBy(F.xxhash64("f"), "label").limit(fit_rows).agg(F.array_sort(one).alias("d"))
-    dense = F.transform("d", lambda r: F.struct(r["y"].alias("y"), F.transform(F.sequence(F.lit(0), F.lit(DIM)), lambda i: F.when(i == DIM, F.lit(1.0)).otherwise(F.size(F.filter(r["f"], lambda g: g == i)) / F.sqrt(F.size(r["f"]).cast("double")))).alias("x")))
-    data = data.select(dense.alias("d"))
+    places = F.sequence(F.lit(0), F.lit(DIM))
+    dense = lambda f: F.transform(places, lambda i: F.when(i == DIM, F.lit(1.0)).when(F.array_contains(f, i), 1 / F.sqrt(F.size(f).cast("double"))).otherwise(F.lit(0.0)))
+    data = data.select(F.transform("d", lambda r: F.struct(r["y"].alias("y"), r["f"].alias("f"), dense(r["f"]).alias("x"))).alias("d"))
 
     def step(w: Column, r: Column) -> Column:
-        dot = F.aggregate(F.zip_with(w, r["x"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        moves = F.transform(F.array(F.lit(RATE) * (r["y"] - 1 / (1 + F.exp(-dot)))), lambda g: F.zip_with(w, r["x"], lambda a, b: a + g * b))
+        moves = F.transform(F.array(F.lit(RATE) * (r["y"] - 1 / (1 + F.exp(-_sum(w, r["f"]))))), lambda g: F.zip_with(w, r["x"], lambda a, b: a + g * b))
         return F.element_at(moves, 1)
 
     weights = F.aggregate(F.flatten(F.array_repeat("d", EPOCHS)), F.array_repeat(F.lit(0.0), DIM + 1), step)
@@ -73,8 +98,8 @@ def fit(spark: SparkSession, table: DataFrame | None = None, fit_rows: int = FIT
 
 def score(host: Column, path: Column, weights: list[float]) -> Column:
     """Probability of block."""
-    w, f = F.array(*[F.lit(x) for x in weights[:-1]]), _features(host, path)
-    total = F.aggregate(f, F.lit(0.0), lambda s, i: s + F.get(w, i)) / F.sqrt(F.size(f).cast("double")) + weights[-1]
+    w = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # one constant for the optimizer to fold
+    total = _sum(w, _features(host, path))
     return 1 / (1 + F.exp(-total))
 
 

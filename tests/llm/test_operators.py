@@ -369,11 +369,48 @@ def test_urls(spark, sf):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+#: Urls none of whose hosts is in the labelled table, to block and to allow.
+HELD_OUT = {
+    1: """https://casino-royal.example.net/en/9
+https://www.onlinepoker.example.org/fr/3
+http://sports-betting.example.com/1
+https://porntube.example.net/en/5
+http://free-warez.example.org/x
+https://buy-viagra-now.example.com/en/77
+http://megaslots.example.net/a
+https://m.adultfriends.example.com/en/4
+http://keygens.example.org/de/2
+https://spammers.example.net/9
+http://torrents.example.com/q
+https://www.dietpills.example.net/en/1""".split(),
+    0: """https://www.bridges.example.net/en/9
+http://river.example.com/articles/3
+https://castle.example.org/fr/8
+http://newspaper.example.net/en/4
+https://www.cathedral.example.com/de/7
+https://m.poetry.example.org/en/5
+http://adventure.example.net/4
+https://astronomy.example.com/en/12
+http://www.pottery.example.net/fr/3
+https://spatial.example.org/de/6
+https://bibliothek.example.net/de/3
+http://cuisine.example.com/fr/31
+https://sailing.example.org/en/8
+http://adults-education.example.net/1""".split(),
+}
+
+
 def test_url_model(spark):
-    held = [("https://www.casino-poker.example.net/en/9", 1), ("https://casino.example.org/en/3", 1), ("https://www.science.example.org/en/9", 0), ("http://library.example.net/articles/3", 0)]
+    hosts = {u.split("/")[2] for u, _ in url_filter.labelled()}
+    held = [(u, y) for y, urls in HELD_OUT.items() for u in urls]
+    assert not hosts & {u.split("/")[2] for u, _ in held}
     df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
     got = url_filter.judge_urls(df, rules=[]).orderBy("page_id").collect()
-    assert [r["verdict"] for r in got] == ["block" if y else "allow" for _, y in held]
+    right = [r["verdict"] == ("block" if y else "allow") for r, (_, y) in zip(got, held, strict=True)]
+    assert sum(right) >= 0.8 * len(held)
+    table = spark.createDataFrame(url_filter.labelled(), "url string, label int").withColumnRenamed("label", "page_id")
+    known = url_filter.judge_urls(table, rules=[]).collect()
+    assert sum((r["verdict"] == "block") == (r["page_id"] == 1) for r in known) >= 0.97 * len(known)
     assert url_filter.fit(spark, spark.createDataFrame([], "url string, label int")) == [0.0] * (url_filter.DIM + 1)
 
 
